@@ -89,7 +89,7 @@ def variants(nodes: DataFrame) -> DataFrame:
     plans = [(keep, _signed((mark ^ flip) & ((1 << 64) - 1))) for keep, mark, flips in _blocks() for flip in [0, *flips]]
     masks = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(x).cast("long").alias("x")) for k, x in plans])
     ball = F.transform(masks, lambda m: F.col("fp").bitwiseAND(m["k"]).bitwiseXOR(m["x"]))
-    return nodes.select("fp", F.explode(ball).alias("key"))
+    return nodes.select("fp", F.explode(F.array_distinct(ball)).alias("key"))
 
 
 def links(nodes: DataFrame) -> DataFrame:
