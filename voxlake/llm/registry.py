@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import simhash, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": lambda s, d: simhash.op1_simhash_near_dedup(table(s, d, "documents")),
+        "op5_document_fingerprints": lambda s, d: winnowing.op5_document_fingerprints(table(s, d, "documents")),
     }
 
 
