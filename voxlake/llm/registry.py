@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, winnowing
+from . import chat, sharding, simhash, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": lambda s, d: simhash.op1_simhash_near_dedup(table(s, d, "documents")),
         "op5_document_fingerprints": lambda s, d: winnowing.op5_document_fingerprints(table(s, d, "documents")),
+        "op6_chat_formatting": lambda s, d: chat.op6_chat_formatting(table(s, d, "conversations")),
+        "op9_sharding": lambda s, d: sharding.op9_sharding(table(s, d, "documents")),
     }
 
 
