@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, sharding, simhash, winnowing
+from . import bpe, chat, sharding, simhash, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Where the vocabulary files are, unless the library that carries them is installed.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def vocabulary_json(name: str = "word_bpe_49k.json") -> str:
+    """The text of a public vocabulary file; its folder is a parameter of this module."""
+    found = importlib.util.find_spec("public_tokenizers")
+    folder = os.path.dirname(found.origin) if found else TOKENIZERS
+    with open(os.path.join(folder, name), encoding="utf-8") as file:
+        return file.read()
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": lambda s, d: simhash.op1_simhash_near_dedup(table(s, d, "documents")),
         "op5_document_fingerprints": lambda s, d: winnowing.op5_document_fingerprints(table(s, d, "documents")),
         "op6_chat_formatting": lambda s, d: chat.op6_chat_formatting(table(s, d, "conversations")),
+        "op8_bpe_encode_decode": lambda s, d: bpe.op8_bpe(table(s, d, "documents"), vocabulary_json()),
         "op9_sharding": lambda s, d: sharding.op9_sharding(table(s, d, "documents")),
     }
 
