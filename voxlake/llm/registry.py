@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, sharding, simhash, winnowing
+from . import bpe, chat, langid, sharding, simhash, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op6_chat_formatting": lambda s, d: chat.op6_chat_formatting(table(s, d, "conversations")),
         "op8_bpe_encode_decode": lambda s, d: bpe.op8_bpe(table(s, d, "documents"), vocabulary_json()),
         "op9_sharding": lambda s, d: sharding.op9_sharding(table(s, d, "documents")),
+        "op10_language_id": lambda s, d: langid.op10_language_id(table(s, d, "documents")),
     }
 
 
