@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, quality, sharding, simhash, winnowing
+from . import bpe, chat, langid, mixing, quality, sharding, simhash, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +26,15 @@ def vocabulary_json(name: str = "word_bpe_49k.json") -> str:
         return file.read()
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.op2_mixing(docs, docs.where("lang IS NOT NULL").selectExpr("doc_id", "lang AS domain"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": lambda s, d: simhash.op1_simhash_near_dedup(table(s, d, "documents")),
+        "op2_source_mixing": op2,
         "op4_quality_classifier": lambda s, d: quality.op4_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op5_document_fingerprints": lambda s, d: winnowing.op5_document_fingerprints(table(s, d, "documents")),
         "op6_chat_formatting": lambda s, d: chat.op6_chat_formatting(table(s, d, "conversations")),
