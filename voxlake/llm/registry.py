@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, mixing, quality, sharding, simhash, winnowing
+from . import bpe, chat, hnsw, langid, mixing, quality, sharding, simhash, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_classifier": lambda s, d: quality.op4_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op5_document_fingerprints": lambda s, d: winnowing.op5_document_fingerprints(table(s, d, "documents")),
         "op6_chat_formatting": lambda s, d: chat.op6_chat_formatting(table(s, d, "conversations")),
+        "op7_embedding_near_dedup": lambda s, d: hnsw.op7_embedding_near_dedup(table(s, d, "embeddings")),
         "op8_bpe_encode_decode": lambda s, d: bpe.op8_bpe(table(s, d, "documents"), vocabulary_json()),
         "op9_sharding": lambda s, d: sharding.op9_sharding(table(s, d, "documents")),
         "op10_language_id": lambda s, d: langid.op10_language_id(table(s, d, "documents")),
