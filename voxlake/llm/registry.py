@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, hnsw, langid, mixing, quality, sharding, simhash, winnowing
+from . import bpe, chat, hnsw, langid, mixing, quality, sharding, simhash, suffix_dedup, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": lambda s, d: simhash.op1_simhash_near_dedup(table(s, d, "documents")),
         "op2_source_mixing": op2,
+        "op3_suffix_array_dedup": lambda s, d: suffix_dedup.op3_suffix_array_dedup(table(s, d, "documents")),
         "op4_quality_classifier": lambda s, d: quality.op4_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op5_document_fingerprints": lambda s, d: winnowing.op5_document_fingerprints(table(s, d, "documents")),
         "op6_chat_formatting": lambda s, d: chat.op6_chat_formatting(table(s, d, "conversations")),
