@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, hnsw, langid, mixing, quality, sharding, simhash, suffix_dedup, winnowing
+from . import bpe, chat, hnsw, langid, mixing, oracles, quality, sharding, simhash, suffix_dedup, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,4 +47,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_suffix_array_dedup": oracles.SUFFIX,
+        "op6_chat_formatting": oracles.CHAT,
+        "op7_embedding_near_dedup": oracles.VECTORS,
+    }
