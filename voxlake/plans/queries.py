@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import coords as C
 from ..functions import packing as P
 from ..functions import states as S
 from ..functions import varint as N
 from ..operators import build as B
+from ..operators import settings as ST
 from ..operators import views as X
 from ..operators import world as W
+from ..sources import worldfile as WF
 from ..streaming import upsert as U
 from . import virtual as V
 from .virtual import ADDRESSED, BLOCK_ENTITY, CELLS, ENTITY, PALETTE, PLACED, table
@@ -591,3 +596,46 @@ def change_times(spark, d):
     t = table(spark, d, "events")
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
     return t.groupBy((F.floor(seconds / 60) % 2 == 0).alias("even_minute")).agg(F.count("*").alias("n"))
+
+
+# --- files and tagged binary
+
+
+def _folder(spark) -> str:
+    """A new folder under the shared one that the session names, or a temporary one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    base = shared.removeprefix("file://") if shared else tempfile.mkdtemp(prefix="worlds-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def _written(spark, d) -> str:
+    chunks = V.chunks(spark, d)
+    none = {"block_entities": 4, "entities": 5, "scheduled_ticks": 6}
+    kinds = T._parse_datatype_string(WF.CHUNKS)
+    full = chunks.withColumns({k: F.array().cast(kinds[i].dataType) for k, i in none.items()}).withColumn("user_data", F.lit(b""))
+    path = _folder(spark)
+    WF.write_worlds(full.select(*kinds.names), path, compression="fast")
+    return path
+
+
+@query(f"WITH {ADDRESSED} SELECT x, y, z, st AS block FROM i")
+def scan_roundtrip(spark, d):
+    """Chunks written to a world file and read again by Spark's file scan."""
+    return X.blocks(WF.read_worlds(spark, _written(spark, d))).select("x", "y", "z", "block")
+
+
+@query(f"WITH {ADDRESSED} SELECT 'overworld' AS dimension, 1 AS version, -4 AS min_section, 20 AS max_section, count(*) AS chunks FROM (SELECT DISTINCT cx, cz FROM i)")
+def header_probe(spark, d):
+    h = WF.read_world_headers(spark, _written(spark, d))
+    return h.select("dimension", F.col("version").cast("int").alias("version"), "min_section", "max_section", F.col("chunk_count").alias("chunks"))
+
+
+@query("SELECT n_nationkey, n_name AS name, CAST(n_nationkey AS BIGINT) * 1000 AS time, n_nationkey % 2 = 1 AS raining, 2 AS difficulty FROM nation")
+def settings_binary(spark, d):
+    """Settings through their tagged binary form and back."""
+    n = table(spark, d, "nation")
+    k = F.col("n_nationkey")
+    own = {"name": F.col("n_name"), "time": k.cast("bigint") * 1000, "raining": k % 2 == 1}
+    rows = n.select("n_nationkey", *[own.get(s, F.lit(W.DEFAULT_SETTINGS[s])).cast(kind).alias(s) for s, kind in W.SETTING_KINDS.items()])
+    back = ST.with_settings_bytes(rows).select("n_nationkey", ST.decoded_settings(F.col("settings")).alias("s"))
+    return back.select("n_nationkey", "s.name", "s.time", "s.raining", "s.difficulty")
