@@ -7,8 +7,10 @@ compressed, and are read again like any table.
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
+import time
 import uuid
 
 from pyspark import cloudpickle
@@ -44,10 +46,26 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a durable lineage cut."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def tidy(df: DataFrame) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark removes them once nothing refers to them, which it learns from the
+    garbage collector; the first round frees the plans, the second their files."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def pieces(batch, rows: int = 512):
+    """A batch in short pieces, so that what is made of long texts stays small."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 3; rows of fold 1 are held out of all learning."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3

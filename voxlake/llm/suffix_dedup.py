@@ -21,8 +21,9 @@ every 400-byte string inside it is repeated.
 begin before its first anchor and end inside its last symbol. Anchors with a
 400-byte string that the suffix array leaves undecided meet all anchors with
 the same bytes after them, each with its whole surroundings, and every string
-is compared there (by offset and 128-bit hash). Groups of over ``CROWD``
-anchors send single strings instead, which the shuffle spreads.
+is compared there (by offset and 128-bit hash); decided anchors bear witness
+once for equal surroundings. Groups of over ``CROWD`` undecided anchors, which
+a task should not hold, send single strings instead, which the shuffle spreads.
 
 Copies of a whole text are read once; a text of 400 bytes or more that occurs
 twice is removed whole.
@@ -36,8 +37,6 @@ lost some of its bytes.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -46,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, stash
+from .common import pieces, ship, stash, tidy
 from .suffix_order import places, suffix_ranks
 
 ship(__name__)
@@ -55,8 +54,8 @@ LENGTH = 400
 GRAM = 16
 SPAN = 96
 REACH = LENGTH - (SPAN - 1)
-DEPTH = 27
-CROWD = 4096
+DEPTH = 9
+CROWD = 1 << 16
 _AHEAD = LENGTH + 3 * SPAN - REACH
 _LOW = np.uint64(127)
 
@@ -120,72 +119,101 @@ def _anchor_rows(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.full(len(c), tid), pa.int64()), pa.array(packed, pa.int64())], schema=schema)
 
 
-def _strings(frames):
+def _flat(batch, *fields: str):
+    """Of a batch of (tid, found): for each row the number of found, and the fields of all found end to end."""
+    found = batch.column(1)
+    sizes = np.diff(found.offsets.to_numpy())
+    flat = found.flatten()
+    return batch.column(0).to_numpy(), sizes, *(flat.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
+def _strings(batches):
     """Of texts with their repeated anchors: rows of the reduced strings. A string ends where the next anchor was dropped."""
-    for frame in frames:
-        for tid, found in zip(frame["tid"], frame["found"]):
-            packed, keys = np.array([f["packed"] for f in found], np.int64), np.array([f["bytes_key"] for f in found], np.int64)
-            order = np.argsort(packed)
-            packed, keys = packed[order], keys[order]
-            s, gap = packed >> 24, packed & 255
-            cut = np.append(True, s[:-1] + gap[:-1] != s[1:])
-            symbols = np.array([_positive(xxhash.xxh3_64_intdigest(b"%d %d" % (k, g))) for k, g in zip(keys.tolist(), gap.tolist())], np.int64)
-            ends = np.append(np.flatnonzero(cut)[1:], len(s))[np.cumsum(cut) - 1]
-            ahead, reach = [], []
-            for i in range(len(s)):
-                # as many symbols as it takes to decide any string that begins within three spans after this anchor
-                j = min(ends[i], max(i + 1, np.searchsorted(s, s[i] + _AHEAD, "right") + 1))
-                ahead.append(symbols[i:j].tolist())
-                reach.append((s[i:j] - s[i] + REACH).tolist())
-            yield pd.DataFrame({"sid": tid, "pos": np.arange(len(s)) + np.cumsum(cut), "sym": symbols, "packed": packed, "bytes_key": keys, "ahead": ahead, "reach": reach})
-
-
-def _undecided(frames):
+    schema = pa.schema([("sid", pa.int64()), ("pos", pa.int64()), ("sym", pa.int64()), ("packed", pa.int64()), ("bytes_key", pa.int64()), ("ahead", pa.list_(pa.int64())), ("reach", pa.list_(pa.int64()))])
+    for batch in (b for whole in batches for b in pieces(whole, 256)):
+        tids, sizes, packed, keys = _flat(batch, "packed", "bytes_key")
+        if not len(packed):
+            continue
+        text = np.repeat(np.arange(len(tids)), sizes)
+        order = np.lexsort((packed, text))
+        packed, keys = packed[order], keys[order]
+        s, gap = packed >> 24, packed & 255
+        cut = np.append(True, (s[:-1] + gap[:-1] != s[1:]) | (text[:-1] != text[1:]))
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (gap.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        symbols = (mixed >> np.uint64(1)).astype(np.int64)
+        # of each anchor as many symbols of its string as it takes to decide any string that begins within three spans after it
+        ends = np.append(np.flatnonzero(cut)[1:], len(s))[np.cumsum(cut) - 1]
+        line = s + text * (1 << 40)
+        far = np.searchsorted(line, line + _AHEAD, "right") + 1
+        n = np.minimum(ends, np.maximum(np.arange(len(s)) + 1, far)) - np.arange(len(s))
+        offsets = np.append(0, np.cumsum(n))
+        at = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - np.arange(len(s)), n)
+        ahead = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(symbols[at]))
+        reach = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(s[at] - np.repeat(s, n) + REACH))
+        pos = np.arange(len(s)) + np.cumsum(cut)
+        yield pa.RecordBatch.from_arrays([pa.array(tids[text]), pa.array(pos), pa.array(symbols), pa.array(packed), pa.array(keys), ahead, reach], schema=schema)
+
+
+def _undecided(batches):
     """Of texts with their anchors and longest repeats: every anchor, and whether a 400-byte string of it is undecided."""
-    for frame in frames:
-        for tid, found in zip(frame["tid"], frame["found"]):
-            found = sorted(found, key=lambda f: f["packed"])
-            packed, m = np.array([f["packed"] for f in found], np.int64), np.array([f["m"] for f in found], np.int64)
-            s = packed >> 24
-            lo, hi = s - (packed >> 16 & 255), s - (packed >> 8 & 255)
-            # all strings of an anchor are decided by a repeat that begins before the first and ends after the last
-            far = np.append(0, np.maximum.accumulate(s + m))
-            open_ = far[np.searchsorted(s, lo, "right")] < hi + LENGTH
-            known = m >= LENGTH
-            yield pd.DataFrame({"tid": tid, "bytes_key": [f["bytes_key"] for f in found], "packed": packed, "undecided": open_, "begin": np.where(known, s, 0), "end": np.where(known, s + m, 0)})
+    schema = pa.schema([("tid", pa.int64()), ("bytes_key", pa.int64()), ("packed", pa.int64()), ("undecided", pa.bool_()), ("begin", pa.int64()), ("end", pa.int64())])
+    for batch in (b for whole in batches for b in pieces(whole, 256)):
+        tids, sizes, packed, keys, m = _flat(batch, "packed", "bytes_key", "m")
+        if not len(packed):
+            continue
+        text = np.repeat(np.arange(len(tids)), sizes)
+        order = np.lexsort((packed, text))
+        packed, keys, m = packed[order], keys[order], m[order].astype(np.int64)
+        shift = text * (1 << 40)
+        s = packed >> 24
+        lo, hi = s - (packed >> 16 & 255), s - (packed >> 8 & 255)
+        # all strings of an anchor are decided by a repeat that begins before the first and ends after the last
+        far = np.append(0, np.maximum.accumulate(s + shift + m))
+        open_ = far[np.searchsorted(s + shift, lo + shift, "right")] < hi + shift + LENGTH
+        known = m >= LENGTH
+        yield pa.RecordBatch.from_arrays([pa.array(tids[text]), pa.array(keys), pa.array(packed), pa.array(open_), pa.array(np.where(known, s, 0)), pa.array(np.where(known, s + m, 0))], schema=schema)
 
 
 def _surroundings(batches):
-    """Of (text, anchors to compare): each anchor with the bytes of all its 400-byte strings."""
-    schema = pa.schema([("bytes_key", pa.int64()), ("tid", pa.int64()), ("packed", pa.int64()), ("crowded", pa.bool_()), ("around", pa.binary())])
+    """Of (text, anchors to compare): each anchor with the bytes of all its 400-byte strings.
+
+    A decided anchor only bears witness, so a task sends one of those with equal surroundings."""
+    schema = pa.schema([("bytes_key", pa.int64()), ("tid", pa.int64()), ("packed", pa.int64()), ("undecided", pa.bool_()), ("crowded", pa.bool_()), ("around", pa.binary())])
     met: set[int] = set()
-    for batch in batches:
+    sent: set[bytes] = set()
+    for batch in (b for whole in batches for b in pieces(whole, 256)):
         for tid, text, found in zip(*(batch.column(k).to_pylist() for k in range(3))):
             if tid in met:
                 continue
             met.add(tid)
             data = (text or "").encode("utf-8", "replace")
-            for at in range(0, len(found), 4096):
-                part = found[at : at + 4096]
-                around = []
-                for f in part:
-                    s = f["packed"] >> 24
-                    around.append(data[s - (f["packed"] >> 16 & 255) : s - (f["packed"] >> 8 & 255) + LENGTH])
-                yield pa.RecordBatch.from_arrays([pa.array([f["bytes_key"] for f in part], pa.int64()), pa.array([tid] * len(part), pa.int64()), pa.array([f["packed"] for f in part], pa.int64()), pa.array([f["crowded"] for f in part]), pa.array(around, pa.binary())], schema=schema)
-
-
-def _windows(packed: int, around: bytes):
-    """(offset, start, 128-bit hash) of an anchor's 400-byte strings."""
+            rows = []
+            for f in found:
+                s = f["packed"] >> 24
+                around = data[s - (f["packed"] >> 16 & 255) : s - (f["packed"] >> 8 & 255) + LENGTH]
+                if not f["undecided"]:
+                    mark = xxhash.xxh3_128_digest(around) + (f["packed"] >> 8 & 65535).to_bytes(2, "little")
+                    if mark in sent:
+                        continue
+                    if len(sent) < 1 << 19:
+                        sent.add(mark)
+                rows.append((f["bytes_key"], tid, f["packed"], f["undecided"], f["crowded"], around))
+            for at in range(0, len(rows), 4096):
+                part = rows[at : at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], field.type) for k, field in enumerate(schema)], schema=schema)
+
+
+def _bounds(packed: int) -> tuple[int, int, int]:
+    """Place of the anchor, first and last start of its strings."""
     s = packed >> 24
-    lo, hi = s - (packed >> 16 & 255), s - (packed >> 8 & 255)
-    view = memoryview(around)
-    return [(s - p, p, xxhash.xxh3_128_digest(view[p - lo : p - lo + LENGTH])) for p in range(lo, hi + 1)]
+    return s, s - (packed >> 16 & 255), s - (packed >> 8 & 255)
 
 
 def _runs(starts: list[int]) -> list[tuple[int, int]]:
-    """Bytes covered by strings at these rising starts, as (begin, end)."""
+    """Bytes covered by strings at these starts, as (begin, end)."""
     out: list[list[int]] = []
-    for p in starts:
+    for p in sorted(starts):
         if out and p <= out[-1][1]:
             out[-1][1] = p + LENGTH
         else:
@@ -193,49 +221,64 @@ def _runs(starts: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def repeated_in_group(group: dict) -> list[tuple[int, int, int]]:
+    """Spans (tid, begin, end) of the undecided anchors' strings that occur twice, or at a decided anchor.
+
+    ``group`` holds (tid, packed) -> (undecided, surroundings); offset after offset, so only the strings of one are held."""
+    members = [(tid, *_bounds(packed), undecided, memoryview(around)) for (tid, packed), (undecided, around) in group.items()]
+    starts: dict[tuple, list[int]] = {}
+    if not any(m[4] for m in members):
+        return []
+    for o in range(min(s - hi for _, s, _, hi, _, _ in members), max(s - lo for _, s, lo, _, _, _ in members) + 1):
+        seen: dict[bytes, int] = {}
+        here = []
+        for k, (_, s, lo, hi, undecided, around) in enumerate(members):
+            p = s - o
+            if lo <= p <= hi:
+                h = xxhash.xxh3_128_digest(around[p - lo : p - lo + LENGTH])
+                seen[h] = seen.get(h, 0) + (1 if undecided else 2)
+                if undecided:
+                    here.append((k, p, h))
+        for k, p, h in here:
+            if seen[h] > 1:
+                starts.setdefault(k, []).append(p)
+    return [(members[k][0], a, b) for k, ps in starts.items() for a, b in _runs(ps)]
+
+
 def _compared(frames):
     """Of partitions sorted by bytes_key: the spans of every group's repeated strings."""
     key, group = None, {}  # copies of a text send an anchor once more
-
-    def settle():
-        seen: dict = {}
-        each = [(tid, _windows(packed, around)) for (tid, packed), around in group.items()]
-        for _, strings in each:
-            for o, _, h in strings:
-                seen[o, h] = seen.get((o, h), 0) + 1
-        rows = [(tid, a, b) for tid, strings in each for a, b in _runs([p for o, p, h in strings if seen[o, h] > 1])]
-        return pd.DataFrame(rows, columns=["tid", "begin", "end"])
-
+    done: list[tuple[int, int, int]] = []
+    frame_of = lambda rows: pd.DataFrame(rows, columns=["tid", "begin", "end"])
     for frame in frames:
-        for k, tid, packed, around in zip(frame["bytes_key"], frame["tid"], frame["packed"], frame["around"]):
+        for k, tid, packed, undecided, around in zip(frame["bytes_key"], frame["tid"], frame["packed"], frame["undecided"], frame["around"]):
             if k != key and group:
-                yield settle()
+                done += repeated_in_group(group)
                 group.clear()
             key = k
-            group[tid, int(packed)] = around
-    if group:
-        yield settle()
+            group[tid, int(packed)] = (undecided, around)
+        if len(done) > 10_000:
+            yield frame_of(done)
+            done = []
+    yield frame_of(done + repeated_in_group(group))
 
 
 def _single_strings(frames):
     for frame in frames:
-        rows = [(k, tid, o, p, h) for k, tid, packed, around in zip(frame["bytes_key"], frame["tid"], frame["packed"], frame["around"]) for o, p, h in _windows(int(packed), around)]
-        yield pd.DataFrame(rows, columns=["bytes_key", "tid", "o", "begin", "h"])
-
-
-def _tidy(df: DataFrame) -> None:
-    """Let go of the shuffle files of finished steps: they are freed once nothing refers to them."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+        rows = []
+        for k, tid, packed, undecided, around in zip(frame["bytes_key"], frame["tid"], frame["packed"], frame["undecided"], frame["around"]):
+            s, lo, hi = _bounds(int(packed))
+            rows += [(k, tid, s - p, p, undecided, xxhash.xxh3_128_digest(around[p - lo : p - lo + LENGTH])) for p in range(lo, hi + 1)]
+        yield pd.DataFrame(rows, columns=["bytes_key", "tid", "o", "begin", "undecided", "h"])
 
 
 def longest_repeats(found: DataFrame) -> DataFrame:
     """``(tid, bytes_key, packed, m)``: for each repeated anchor the longest string of bytes from it, by whole symbols, that a neighbour in suffix order shares."""
     grouped = found.groupBy("tid").agg(F.collect_list(F.struct("packed", "bytes_key")).alias("found"))
     schema = "sid long, pos long, sym long, packed long, bytes_key long, ahead array<long>, reach array<long>"
-    strings = stash(grouped.mapInPandas(_strings, schema), "strings")
+    strings = stash(grouped.mapInArrow(_strings, schema), "strings")
     ranks = suffix_ranks(strings.select("sid", "pos", "sym"), DEPTH)
-    _tidy(found)
+    tidy(found)
     ordered = places(strings.select("sid", "pos", "packed", "bytes_key", "ahead", "reach").join(ranks, ["sid", "pos"]), ["rank", "sid", "pos"], "place")
     # blocks of the order; a block's first and last row also stand in the block beside it
     size = 1024
@@ -279,20 +322,20 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     place = F.struct("tid", "packed")
     several = rows.withColumn("a", F.min(place).over(w)).withColumn("b", F.max(place).over(w)).where("a <> b")
     found = stash(several.select("tid", "bytes_key", "packed").distinct(), "anchors")
-    _tidy(docs)
+    tidy(docs)
     repeats = longest_repeats(found)
-    _tidy(docs)
-    told = repeats.groupBy("tid").agg(F.collect_list(F.struct("packed", "bytes_key", "m")).alias("found")).mapInPandas(_undecided, "tid long, bytes_key long, packed long, undecided boolean, begin long, end long")
+    tidy(docs)
+    told = repeats.groupBy("tid").agg(F.collect_list(F.struct("packed", "bytes_key", "m")).alias("found")).mapInArrow(_undecided, "tid long, bytes_key long, packed long, undecided boolean, begin long, end long")
     told = stash(told, "decided")
-    asked = told.withColumn("ask", F.max("undecided").over(w)).where("ask").withColumn("crowded", F.count("*").over(w) > CROWD)
-    asked = stash(asked.groupBy("tid").agg(F.collect_list(F.struct("packed", "bytes_key", "crowded")).alias("found")), "asked")
-    around = keyed.join(asked, "tid").select("tid", "text", "found").mapInArrow(_surroundings, "bytes_key long, tid long, packed long, crowded boolean, around binary")
+    asked = told.withColumn("ask", F.max("undecided").over(w)).where("ask").withColumn("crowded", F.count_if("undecided").over(w) > CROWD)
+    asked = stash(asked.groupBy("tid").agg(F.collect_list(F.struct("packed", "bytes_key", "undecided", "crowded")).alias("found")), "asked")
+    around = keyed.join(asked, "tid").select("tid", "text", "found").mapInArrow(_surroundings, "bytes_key long, tid long, packed long, undecided boolean, crowded boolean, around binary")
     around = stash(around, "around")
-    _tidy(docs)
+    tidy(docs)
     few = around.where("NOT crowded").repartition("bytes_key").sortWithinPartitions("bytes_key").mapInPandas(_compared, "tid long, begin long, end long")
-    single = around.where("crowded").mapInPandas(_single_strings, "bytes_key long, tid long, o int, begin long, h binary").distinct()
-    counted = single.groupBy("bytes_key", "o", "h").agg(F.count("*").alias("n")).where("n > 1")
-    many = single.join(counted, ["bytes_key", "o", "h"], "left_semi").select("tid", "begin", (F.col("begin") + LENGTH).alias("end"))
+    single = around.where("crowded").mapInPandas(_single_strings, "bytes_key long, tid long, o int, begin long, undecided boolean, h binary").distinct()
+    counted = single.groupBy("bytes_key", "o", "h").agg(F.sum(F.when(F.col("undecided"), 1).otherwise(2)).alias("n")).where("n > 1")
+    many = single.where("undecided").join(counted, ["bytes_key", "o", "h"], "left_semi").select("tid", "begin", (F.col("begin") + LENGTH).alias("end"))
     sure = told.where("end > 0").select("tid", "begin", "end")
     spans = stash(sure.unionByName(few).unionByName(many), "spans").groupBy("tid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     copied = texts.where("n > 1").select("tid", F.lit(True).alias("whole"))
@@ -302,7 +345,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, int]:
 def with_removal(docs: DataFrame) -> DataFrame:
     """``(row, n_bytes, spans, kept)``: each row of ``docs`` as a struct, the removed places as pairs, the kept bytes."""
     removed, salt = repeated_spans(docs)
-    _tidy(docs)
+    tidy(docs)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), text_id(salt).alias("tid"))
     cut = _removal_udf()(F.col("row.text"), F.col("spans"), F.coalesce("whole", F.lit(False)))
     return keyed.join(removed, "tid", "left").withColumn("cut", cut).select("row", "cut.*")

@@ -7,36 +7,82 @@ merged: any two of the three residue classes compare by at most two symbols and
 a sample rank, so three sorts, one for each pair of classes, give every suffix
 the number of smaller ones in each class, and these add up to its rank.
 
-Sorts are range-partitioned; ranks are the place inside the partition plus the
-size of the partitions before, of which only the sizes reach the driver.
+Sorts are range-partitioned; a rank is the place inside the partition plus the
+sizes of the partitions before.
 Strings end where a position is missing; an end sorts before every symbol.
 Symbols are not negative.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stash
+from .common import ship, stash
+
+ship(__name__)
 
 _END = -1
 _CLASS_GAP = 3**25
 
 
-def places(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """``df`` with ``name``: the place of each row in the order of ``columns``, from 0, without gaps."""
+def places(df: DataFrame, columns: list[str], name: str, own: str | None = None) -> DataFrame:
+    """``df`` with ``name``: the place of each row in the order of ``columns``, from 0, without gaps.
+
+    With ``own``, a column of small numbers, also ``own_place``: the place among
+    the rows with the same number. Partitions are ranges of the order; of them
+    only the sizes reach the driver."""
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = df.repartitionByRange(n, *columns).sortWithinPartitions(*columns).withColumn(name, F.monotonically_increasing_id())
-    ordered = stash(ordered, "ordered")
-    part = F.shiftright(name, 33)
-    sizes = {r["part"]: r["n"] for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    before, offsets = 0, []
-    for p in range(max(sizes, default=-1) + 1):
-        offsets.append(before)
-        before += sizes.get(p, 0)
-    base = F.element_at(F.split(F.lit(",".join(map(str, offsets or [0]))), ",").cast("array<bigint>"), part.cast("int") + 1)
-    return ordered.withColumn(name, base + F.col(name).bitwiseAND((1 << 33) - 1))
+    ordered = df.repartitionByRange(n, *columns).sortWithinPartitions(*columns)
+    kinds = T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("inside", T.LongType()), T.StructField("own_inside", T.LongType())])
+    ordered = stash(ordered.mapInArrow(_counted(own), kinds), "ordered")
+    sizes = ordered.groupBy("part", *([own] if own else [])).agg(F.count("*").alias("n")).collect()
+    parts = max((r["part"] for r in sizes), default=-1) + 1
+
+    def offset(of: dict[int, int]) -> Column:
+        starts = np.cumsum([0, *(of.get(p, 0) for p in range(parts))]).tolist()
+        return F.element_at(F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>"), F.col("part") + 1)
+
+    whole: dict[int, int] = {}
+    each: dict[int, dict[int, int]] = {}
+    for r in sizes:
+        whole[r["part"]] = whole.get(r["part"], 0) + r["n"]
+        if own:
+            each.setdefault(r[own], {})[r["part"]] = r["n"]
+    out = ordered.withColumn(name, offset(whole) + F.col("inside"))
+    if own:
+        before = F.lit(0).cast("bigint")
+        for value, of in each.items():
+            before = F.when(F.col(own) == value, offset(of)).otherwise(before)
+        out = out.withColumn("own_place", before + F.col("own_inside"))
+    return out.drop("part", "inside", "own_inside")
+
+
+def _counted(own: str | None):
+    """Number the rows of a partition, all and by the value of ``own``."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, seen, by = TaskContext.get().partitionId(), 0, {}
+        for batch in batches:
+            n = batch.num_rows
+            inside = np.arange(seen, seen + n)
+            seen += n
+            owns = np.zeros(n, np.int64)
+            if own:
+                values = batch.column(batch.schema.get_field_index(own)).to_numpy(zero_copy_only=False)
+                for v in np.unique(values):
+                    hit = values == v
+                    owns[hit] = by.get(v, 0) + np.arange(hit.sum())
+                    by[v] = by.get(v, 0) + int(hit.sum())
+            columns = [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(inside), pa.array(owns)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "inside", "own_inside"])
+
+    return run
 
 
 def _next(column: str, by: int) -> Column:
@@ -70,14 +116,11 @@ def suffix_ranks(strings: DataFrame, depth: int | None = None, _covers: int = 1)
     whole = rows.select("sid", "pos", "s0", "s1").join(ranks, ["sid", "pos"], "left").withColumn("rank", F.coalesce("rank", F.lit(_END).cast("long")))
     whole = whole.withColumns({"r1": _next("rank", 1), "r2": _next("rank", 2), "c": (F.col("pos") % 3).cast("int")})
     whole = stash(whole, "merge")
-    out = whole.select("sid", "pos", "c")
+    # smaller suffixes in both classes of a pair; those of a suffix's own class, which both its pairs count, come off once
+    told = None
     for (a, b), keys in {(0, 1): ["s0", "r1"], (0, 2): ["s0", "s1", "r2"], (1, 2): ["rank"]}.items():
-        pair = places(whole.where(F.col("c").isin(a, b)).select("sid", "pos", "c", *keys), keys + ["c", "sid", "pos"], f"p{a}{b}")
-        out = out.join(pair.select("sid", "pos", f"p{a}{b}"), ["sid", "pos"], "left")
-    own = places(whole.where("c = 0").select("sid", "pos", "s0", "r1"), ["s0", "r1", "sid", "pos"], "q0")
-    out = out.join(own.select("sid", "pos", "q0"), ["sid", "pos"], "left")
-    sampled = places(whole.where("c <> 0").select("sid", "pos", "c", "rank"), ["c", "rank", "sid", "pos"], "q")
-    ones = whole.where("c = 1").count()
-    out = out.join(sampled.select("sid", "pos", F.when(F.col("c") == 2, F.col("q") - ones).otherwise(F.col("q")).alias("q")), ["sid", "pos"], "left")
-    rank = F.when(F.col("c") == 0, F.col("p01") + F.col("p02") - F.col("q0")).when(F.col("c") == 1, F.col("p01") + F.col("p12") - F.col("q")).otherwise(F.col("p02") + F.col("p12") - F.col("q"))
-    return stash(out.select("sid", "pos", rank.alias("rank")), "ranks")
+        pair = places(whole.where(F.col("c").isin(a, b)).select("sid", "pos", "c", *keys), keys + ["c", "sid", "pos"], "place", own="c")
+        off = {(0, 1): F.col("c") == 1, (0, 2): F.lit(True), (1, 2): F.lit(False)}[a, b]
+        pair = pair.select("sid", "pos", (F.col("place") - F.when(off, F.col("own_place")).otherwise(0)).alias("v"))
+        told = pair if told is None else told.unionByName(pair)
+    return stash(told.groupBy("sid", "pos").agg(F.sum("v").alias("rank")), "ranks")
