@@ -23,7 +23,7 @@ numbers come from all documents.
 By default the token budget is the least one that asks no domain for less than
 it has: a document is repeated rather than dropped. Copies are the rate rounded
 down, plus one for a share of the documents, chosen by a hash of doc_id, that
-equals the fraction.
+equals the fraction. ``floor`` raises the least rate above 0.
 
 Defined results: a null text counts as empty, has no tokens and its posterior
 is the prior; rows with equal doc_id and text have equal results; domains
@@ -97,7 +97,7 @@ def row_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
 
 
-def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict]:
+def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, tolerance: float = TOLERANCE, floor: float = 0.0) -> tuple[DataFrame, dict]:
     """``members`` with column ``rate``, and what the fit reached: rounds, tokens and targets of each domain."""
     k = range(len(weights))
     mass = F.col("n_tokens") * F.col("copies_in")
@@ -126,7 +126,7 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
         ahead = [a + lead * (a - b) for a, b in zip(now, before)]
         pull = [(a - b) / h if h > 0 else 0.0 for a, b, h in zip(ahead, goal, have)]
         step = sum((F.col(f"p{i}") * F.lit(pull[i]) for i in k if i), F.col("p0") * F.lit(pull[0]))
-        moved = F.greatest(F.lit(0.0), F.col("rate") + F.lit(lead) * (F.col("rate") - F.col("last")) - step)
+        moved = F.greatest(F.lit(float(floor)), F.col("rate") + F.lit(lead) * (F.col("rate") - F.col("last")) - step)
         rates = rates.withColumns({"rate": moved, "last": F.col("rate")})
         if rounds % CUT == 0:
             rates = stash(rates, "rates")
@@ -134,12 +134,12 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
     return rates.drop("last"), {"rounds": rounds, "targets": goal, "reached": now}
 
 
-def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> tuple[DataFrame, list[str], dict]:
+def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, floor: float = 0.0) -> tuple[DataFrame, list[str], dict]:
     """Rows ``(key, text_hash, n_tokens, p0, ..., rate, copies)`` for each doc_id and text."""
     domains = sorted(targets)
     total = sum(targets.values())
     members = stash(memberships(docs, learn(docs, labelled, domains), domains), "memberships")
-    rates, told = fit_rates(members, [targets[d] / total for d in domains], budget)
+    rates, told = fit_rates(members, [targets[d] / total for d in domains], budget, floor=floor)
     share = F.pmod(F.xxhash64("key", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + F.when(share < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     return rates.withColumn("copies", copies), domains, told
@@ -153,9 +153,9 @@ def op2_mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] |
     return keyed.join(out, ["key", "text_hash"]).select("doc_id", "n_tokens", *named, "rate", "copies")
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
-    """``docs`` with each row as often as its copies say."""
-    out, _, _ = rated(docs, labelled, targets or TARGETS, budget)
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, floor: float = 0.0) -> DataFrame:
+    """``docs`` with each row as often as its copies say; with a floor of 1 no row goes."""
+    out, _, _ = rated(docs, labelled, targets or TARGETS, budget, floor)
     keyed = docs.withColumn("_key", row_key()).withColumn("_hash", F.xxhash64("text"))
     often = out.where("copies > 0").select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies"))
     joined = keyed.join(often, ["_key", "_hash"])
