@@ -34,8 +34,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat so that the languages' tokens meet the target weights."""
-    return mixing.mixed(docs, docs.where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("domain")))
+    """Documents repeat, and none goes, so that the languages' tokens come nearest to the target weights."""
+    return mixing.mixed(docs, docs.where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("domain")), floor=1.0)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
