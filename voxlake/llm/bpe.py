@@ -1,23 +1,24 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Texts are split into words as the vocabulary file's normalizer and splitter say.
-The distinct words of all texts form a table; each is encoded once, by applying
-the file's merges in order of rank, and decoded once, by looking its ids up in
-the id-to-piece table. The results are joined back by position:
+Words are the runs between white space; the vocabulary file's normalizer,
+splitter and special tokens never look across it. The distinct words of all
+texts form a table; each is encoded once: normalized, split as the file says,
+and the file's merges applied in order of rank. The results are joined back by
+position:
 
 * the most frequent words, ``HOT_WORDS`` at most and each of at most
   ``HOT_BYTES`` bytes, travel as a broadcast dictionary, whose size is bounded by
   these two numbers whatever the input;
 * all other words are joined on the word: every text emits each of its rare
   words once, the join returns its ids, and the text's own rare words meet its
-  compact form (positions of hot words, numbers of rare ones) again by doc_id.
+  compact form (numbers of hot and rare words in order) again by doc_id.
 
-Special tokens of the file are matched in the raw text before anything else, as
-the file's library does, and keep their ids.
+Decoding looks ids up in the id-to-piece table, which is as large as the
+vocabulary, and joins the pieces.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
 string; equal texts have equal results; rows with equal or null doc_id are told
-apart by an internal row key; an empty table gives no rows; extra columns are
+apart by a hash of their texts; an empty table gives no rows; extra columns are
 ignored.
 """
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stash
+from .common import pieces, ship, stash, tidy
 
 ship(__name__)
 
-HOT_WORDS = 1 << 18
+HOT_WORDS = 1 << 20
 HOT_BYTES = 64
-FLUSH_WORDS = 400_000
+FLUSH_WORDS = 1_000_000
+MEMO_PARTS = 500_000
 #: The splitter of the vocabulary file.
+_SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"  # white space for str.split, but not for the splitter
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -71,6 +75,12 @@ class Vocabulary:
                 out += self.split.findall(lowered(part))
         return out
 
+    def runs(self, text: str) -> list[str]:
+        """The runs between white space; words and special tokens never cross it."""
+        if any(c in text for c in _NOT_SPACE):
+            return [r for r in _SPACES.split(text) if r]
+        return text.split()
+
     def encode_word(self, word: str) -> list[int]:
         """Merge the pair of least rank, leftmost first, until no pair has a rank."""
         if word in self.special:
@@ -81,23 +91,16 @@ class Vocabulary:
         parts[-1] += self.end
         if len(parts) > 64:
             return [self.ids[p] for p in merge_long(parts, self.ranks)]
-        while len(parts) > 1:
-            low, best = None, None
-            for pair in zip(parts, parts[1:]):
-                r = self.ranks.get(pair)
-                if r is not None and (low is None or r < low):
-                    low, best = r, pair
-            if best is None:
-                break
-            k, out = 0, []
-            while k < len(parts):
-                if k + 1 < len(parts) and (parts[k], parts[k + 1]) == best:
-                    out.append(parts[k] + parts[k + 1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
+        rank, none = self.ranks.get, len(self.ranks)
+        order = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while order and (low := min(order)) < none:
+            i = order.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del order[i]
+            if i:
+                order[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(order):
+                order[i] = rank((parts[i], parts[i + 1]), none)
         return [self.ids[p] for p in parts]
 
     def decode(self, ids: list[int]) -> str:
@@ -151,16 +154,33 @@ def lowered(text: str) -> str:
     return text.lower()
 
 
-@lru_cache(maxsize=2)
-def vocabulary(source: str) -> Vocabulary:
-    return Vocabulary(source)
+def kept(shared, name: str, make):
+    """What ``make`` derives from a broadcast dictionary; kept with it, so a worker makes it once."""
+    held = shared.value
+    if name not in held:
+        held[name] = make(held)
+    return held[name]
+
+
+def _vocabulary(shared) -> Vocabulary:
+    return kept(shared, "vocabulary", lambda held: Vocabulary(held["json"]))
+
+
+def _piece_list(v: Vocabulary) -> list[str]:
+    """The id-to-piece table."""
+    return [v.pieces.get(i, "") for i in range(max(v.pieces) + 1)]
+
+
+def hot_part(shared, column: str) -> list:
+    """A column of the hot table, which travels as a compressed Arrow table."""
+    return kept(shared, column, lambda held: pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(held["table"])).read_all().column(column).to_pylist())
 
 
 def _word_counts(source):
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        v, seen = vocabulary(source.value), {}
+        v, seen = _vocabulary(source), Counter()
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
@@ -169,8 +189,7 @@ def _word_counts(source):
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for w in v.words(text or ""):
-                    seen[w] = seen.get(w, 0) + 1
+                seen.update(v.runs(text or ""))
                 if len(seen) > FLUSH_WORDS:
                     yield flush()
         yield flush()
@@ -179,97 +198,145 @@ def _word_counts(source):
 
 
 def _encoded(source):
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        v = vocabulary(source.value)
+        v = _vocabulary(source)
+        parts: dict[str, list[int]] = {}  # many words share a part: case and punctuation aside they are equal
         for batch in batches:
-            ids = [v.encode_word(w) for w in batch.column(0).to_pylist()]
-            packed = [np.array(x, "<u4").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(list(map(v.decode, ids)), pa.string())], schema=schema)
+            packed = []
+            for word in batch.column(0).to_pylist():
+                ids: list[int] = []
+                for part in v.words(word):
+                    found = parts.get(part)
+                    if found is None:
+                        if len(parts) >= MEMO_PARTS:
+                            parts.clear()
+                        found = parts[part] = v.encode_word(part)
+                    ids += found
+                packed.append(np.array(ids, "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], schema=schema)
 
     return run
 
 
-def _pieces(batch, rows: int = 512):
-    """A batch in short pieces, so that what is made of long texts stays small."""
-    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Small numbers in one byte, others in three, like bytes together; four plain bytes each if a number passes 2^22."""
+    high = numbers >> 16
+    if high.max(initial=0) > 63:
+        return b"\0" + numbers.astype("<u4").tobytes()
+    big = numbers >= 192
+    rest = numbers[big]
+    first = np.where(big, 192 + high, numbers).astype(np.uint8)
+    return b"\1" + len(numbers).to_bytes(4, "little") + first.tobytes() + (rest & 255).astype(np.uint8).tobytes() + (rest >> 8 & 255).astype(np.uint8).tobytes()
+
+
+def _expanded(data: bytes) -> np.ndarray:
+    if data[0] == 0:
+        return np.frombuffer(data, "<u4", offset=1)
+    n = int.from_bytes(data[1:5], "little")
+    out = np.frombuffer(data, np.uint8, n, 5).astype(np.int64)
+    big = np.flatnonzero(out >= 192)
+    rest = np.frombuffer(data, np.uint8, 2 * len(big), 5 + n).astype(np.int64)
+    out[big] = (out[big] - 192 << 16) | rest[len(big) :] << 8 | rest[: len(big)]
+    return out
 
 
 def _parsed(source, hot):
     """Per text: its words as numbers (hot ones by place in ``hot``, rare ones above), and the rare words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("packed", pa.binary()), ("rare", pa.list_(pa.string()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int32()), ("packed", pa.binary()), ("rare", pa.list_(pa.string()))])
 
     def run(batches):
-        v, press = vocabulary(source.value), zstandard.ZstdCompressor(level=1)
-        place = {w: k for k, (w, _, _) in enumerate(hot.value)}
+        v, press = _vocabulary(source), zstandard.ZstdCompressor(level=1)
+        place = kept(hot, "place", lambda held: {w: k for k, w in enumerate(hot_part(hot, "words"))})
         base = len(place)
-        for batch in (b for whole in batches for b in _pieces(whole)):
+        for batch in (b for whole in batches for b in pieces(whole)):
             packed, rares = [], []
             for text in batch.column(2).to_pylist():
+                words = v.runs(text or "")
+                numbers = list(map(place.get, words))
                 rare: dict[str, int] = {}
-                numbers = []
-                for w in v.words(text or ""):
-                    k = place.get(w)
-                    numbers.append(base + rare.setdefault(w, len(rare)) if k is None else k)
-                packed.append(press.compress(np.array(numbers, "<u4").tobytes()))
+                if None in numbers:
+                    numbers = [base + rare.setdefault(w, len(rare)) if k is None else k for k, w in zip(numbers, words)]
+                packed.append(press.compress(_squeezed(np.array(numbers, np.int64))))
                 rares.append(list(rare))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(rares, pa.list_(pa.string()))], schema=schema)
 
     return run
 
 
-def _finished(hot):
+def _finished(source, hot):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches):
         unpress = zstandard.ZstdDecompressor()
-        hot_ids, hot_text = [x[1] for x in hot.value], [x[2] for x in hot.value]
-        base = len(hot_ids)
-        for batch in (b for whole in batches for b in _pieces(whole)):
+        spelled = kept(source, "pieces", lambda held: _piece_list(_vocabulary(source)))
+        ids_of, base = hot_part(hot, "ids"), len(hot_part(hot, "words"))
+        for batch in (b for whole in batches for b in pieces(whole)):
             ids_out, text_out = [], []
             for packed, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                numbers = np.frombuffer(unpress.decompress(packed), "<u4").tolist()
-                rare = {base + x["number"]: x for x in found or []}
-                ids_out.append(b"".join([hot_ids[k] if k < base else rare[k]["ids"] for k in numbers]))
-                text_out.append(" ".join([hot_text[k] if k < base else rare[k]["decoded"] for k in numbers]))
+                numbers = _expanded(unpress.decompress(packed)).tolist()
+                # this text's rare words stand behind the hot ones, in order of their numbers; repeated rows bring them repeatedly
+                rare = {x["number"]: x["ids"] for x in found or []}
+                ids_of[base:] = [rare[k] for k in range(len(rare))]
+                ids_out.append(b"".join(map(ids_of.__getitem__, numbers)))
+                text_out.append(" ".join(map(spelled.__getitem__, np.frombuffer(ids_out[-1], "<u4").tolist())))
             lengths = pa.array([len(x) // 4 for x in ids_out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array(ids_out, pa.binary()), pa.array(text_out, pa.string())], schema=schema)
 
     return run
 
 
-def hot_table(words: DataFrame, most: int) -> list[tuple[str, bytes, str]]:
-    """The words with the highest counts, ``most`` at most: all whose count reaches a bound read off a histogram."""
-    step = F.floor(F.log2("n") * 16).cast("int")
-    short = words.where(F.octet_length("word") <= HOT_BYTES).withColumn("step", step)
+def hot_bound(words: DataFrame, most: int) -> int | None:
+    """The least step of counts that ``most`` words at most reach, read off a histogram."""
     total, bound = 0, None
-    for row in sorted(short.groupBy("step").count().collect(), reverse=True):
+    for row in sorted(words.where(_short()).groupBy(_step().alias("step")).count().collect(), reverse=True):
         total += row["count"]
         if total > most:
             break
         bound = row["step"]
-    if bound is None:
-        return []
-    rows = short.where(F.col("step") >= bound).select("word", "ids", "decoded", "n").collect()
-    return [(r["word"], bytes(r["ids"]), r["decoded"]) for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))]
+    return bound
+
+
+def _short():
+    return F.octet_length("word") <= HOT_BYTES
+
+
+def _step():
+    return F.floor(F.log2("n") * 16).cast("int")
+
+
+def hot_table(hot: DataFrame) -> dict[str, bytes]:
+    """The hot words and their ids, the most frequent first."""
+    rows = hot.select("n", "word", "ids").toArrow()
+    rows = rows.take(np.argsort(-rows.column("n").to_numpy(), kind="stable")).select(["word", "ids"]).rename_columns(["words", "ids"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as stream:
+        stream.write_table(rows)
+    return {"table": zstandard.ZstdCompressor(level=3).compress(out.getvalue().to_pybytes())}
 
 
 def encode_and_decode(docs: DataFrame, vocabulary_json: str, hot_words: int = HOT_WORDS) -> DataFrame:
     """``(doc_id, n_tokens, ids, decoded)``: ids as little-endian unsigned 32-bit integers."""
     context = docs.sparkSession.sparkContext
-    source = context.broadcast(vocabulary_json)
+    source = context.broadcast({"json": vocabulary_json})
     counts = docs.select("text").mapInArrow(_word_counts(source), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = stash(counts.mapInArrow(_encoded(source), "word string, n long, ids binary, decoded string"), "words")
-    hot = context.broadcast(hot_table(words, hot_words))
+    words = stash(counts.mapInArrow(_encoded(source), "word string, n long, ids binary"), "words")
+    del counts
+    tidy(docs)
+    bound = hot_bound(words, hot_words)
+    is_hot = F.lit(False) if bound is None else _short() & (_step() >= bound)
+    hot = context.broadcast(hot_table(words.where(is_hot)))
     # rows that agree in both keys have equal texts, and so equal results
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    parsed = keyed.mapInArrow(_parsed(source, hot), "doc_id long, text_hash long, packed binary, rare array<string>")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), "text")
+    parsed = keyed.mapInArrow(_parsed(source, hot), "doc_id long, text_hash int, packed binary, rare array<string>")
     parsed = parsed.withColumn("key", F.coalesce("doc_id", F.lit(-1)))
     rare = parsed.select("key", "text_hash", F.posexplode("rare").alias("number", "word"))
-    found = rare.join(words.select("word", "ids", "decoded"), "word").groupBy("key", "text_hash").agg(F.collect_list(F.struct("number", "ids", "decoded")).alias("found"))
+    # dealt as plain rows: lists would travel at twice the size
+    met = rare.join(words.where(~is_hot).select("word", "ids"), "word").select("key", "text_hash", "number", "ids").repartition("key", "text_hash")
+    found = met.groupBy("key", "text_hash").agg(F.collect_list(F.struct("number", "ids")).alias("found"))
     whole = parsed.select("doc_id", "key", "text_hash", "packed").join(found, ["key", "text_hash"], "left")
-    return whole.select("doc_id", "packed", "found").mapInArrow(_finished(hot), "doc_id long, n_tokens long, ids binary, decoded string")
+    return whole.select("doc_id", "packed", "found").mapInArrow(_finished(source, hot), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def op8_bpe(docs: DataFrame, vocabulary_json: str, hot_words: int = HOT_WORDS) -> DataFrame:
