@@ -101,7 +101,8 @@ def links(nodes: DataFrame) -> DataFrame:
         cases.append(f"WHEN bit_count({rest}) <= 2 THEN ((a.fp & {keep}L) ^ {mark}L) ^ CASE WHEN bit_count({rest}) = 2 THEN {rest} ^ ({rest} & ({rest} - 1L)) ELSE 0L END")
     at_home = f"a.key = CASE {' '.join(cases)} END"
     condition = F.expr("a.key = b.key AND a.fp < b.fp") & F.expr(f"bit_count(a.fp ^ b.fp) <= {RADIUS}") & F.expr(at_home)
-    return v.alias("a").join(v.alias("b"), condition).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    # a merge join whatever the statistics say: they don't know that each row became 131
+    return v.alias("a").hint("merge").join(v.alias("b").hint("merge"), condition).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
