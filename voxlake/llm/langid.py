@@ -172,12 +172,16 @@ def _predictor(shared):
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.coalesce(fold_of(F.col("doc_id")) != 1, F.lit(True)))
-    picked = rows.select("doc_id", "lang", "text", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("h"))
+    rows = rows.select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("h"))
+    # the bound is found among hashes alone; only the texts below it travel
+    bound = rows.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
+    if bound is None:
+        return None
     # a long text lends one slice, at a place that its hash chooses
     begin = F.pmod("h", F.greatest(F.char_length("text") - SLICE, F.lit(0)) + 1).cast("int") + 1
-    picked = picked.withColumn("text", F.substring(F.col("text"), begin, F.lit(SLICE)))
-    got = picked.orderBy("h", "doc_id").limit(sample).select("text", "lang").collect()
-    return train([r["text"] for r in got], [r["lang"] for r in got]) if got else None
+    got = rows.where(F.col("h") <= bound).select("h", "lang", F.substring(F.col("text"), begin, F.lit(SLICE)).alias("text")).collect()
+    got = sorted(got, key=lambda r: (r["h"], r["lang"], r["text"]))[:sample]
+    return train([r["text"] for r in got], [r["lang"] for r in got])
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
