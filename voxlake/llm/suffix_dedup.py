@@ -56,7 +56,7 @@ SPAN = 96
 REACH = LENGTH - (SPAN - 1)
 DEPTH = 9
 CROWD = 1 << 16
-_AHEAD = LENGTH + 3 * SPAN - REACH
+_AHEAD = LENGTH + 2 * SPAN - REACH
 _LOW = np.uint64(127)
 
 
@@ -102,7 +102,7 @@ def _anchor_rows(batches):
     """Of (tid, text): ``(bytes_key, tid, packed)`` of each anchor; a text that a task has met is not parsed again."""
     schema = pa.schema([("bytes_key", pa.int64()), ("tid", pa.int64()), ("packed", pa.int64())])
     met: set[int] = set()
-    for batch in batches:
+    for batch in (b for whole in batches for b in pieces(whole, 256)):
         for tid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             data = (text or "").encode("utf-8", "replace")
             if len(data) < LENGTH or tid in met:
@@ -129,7 +129,7 @@ def _flat(batch, *fields: str):
 
 def _strings(batches):
     """Of texts with their repeated anchors: rows of the reduced strings. A string ends where the next anchor was dropped."""
-    schema = pa.schema([("sid", pa.int64()), ("pos", pa.int64()), ("sym", pa.int64()), ("packed", pa.int64()), ("bytes_key", pa.int64()), ("ahead", pa.list_(pa.int64())), ("reach", pa.list_(pa.int64()))])
+    schema = pa.schema([("sid", pa.int64()), ("pos", pa.int64()), ("sym", pa.int64()), ("packed", pa.int64()), ("bytes_key", pa.int64()), ("ahead", pa.list_(pa.int64())), ("reach", pa.list_(pa.int32()))])
     for batch in (b for whole in batches for b in pieces(whole, 256)):
         tids, sizes, packed, keys = _flat(batch, "packed", "bytes_key")
         if not len(packed):
@@ -142,7 +142,7 @@ def _strings(batches):
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (gap.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
         symbols = (mixed >> np.uint64(1)).astype(np.int64)
-        # of each anchor as many symbols of its string as it takes to decide any string that begins within three spans after it
+        # of each anchor as many symbols of its string as it takes to decide any string that begins within two spans after it
         ends = np.append(np.flatnonzero(cut)[1:], len(s))[np.cumsum(cut) - 1]
         line = s + text * (1 << 40)
         far = np.searchsorted(line, line + _AHEAD, "right") + 1
@@ -150,7 +150,7 @@ def _strings(batches):
         offsets = np.append(0, np.cumsum(n))
         at = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - np.arange(len(s)), n)
         ahead = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(symbols[at]))
-        reach = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(s[at] - np.repeat(s, n) + REACH))
+        reach = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((s[at] - np.repeat(s, n) + REACH).astype(np.int32)))
         pos = np.arange(len(s)) + np.cumsum(cut)
         yield pa.RecordBatch.from_arrays([pa.array(tids[text]), pa.array(pos), pa.array(symbols), pa.array(packed), pa.array(keys), ahead, reach], schema=schema)
 
@@ -196,7 +196,7 @@ def _surroundings(batches):
                     mark = xxhash.xxh3_128_digest(around) + (f["packed"] >> 8 & 65535).to_bytes(2, "little")
                     if mark in sent:
                         continue
-                    if len(sent) < 1 << 19:
+                    if len(sent) < 1 << 17:
                         sent.add(mark)
                 rows.append((f["bytes_key"], tid, f["packed"], f["undecided"], f["crowded"], around))
             for at in range(0, len(rows), 4096):
@@ -275,11 +275,12 @@ def _single_strings(frames):
 def longest_repeats(found: DataFrame) -> DataFrame:
     """``(tid, bytes_key, packed, m)``: for each repeated anchor the longest string of bytes from it, by whole symbols, that a neighbour in suffix order shares."""
     grouped = found.groupBy("tid").agg(F.collect_list(F.struct("packed", "bytes_key")).alias("found"))
-    schema = "sid long, pos long, sym long, packed long, bytes_key long, ahead array<long>, reach array<long>"
+    schema = "sid long, pos long, sym long, packed long, bytes_key long, ahead array<long>, reach array<int>"
     strings = stash(grouped.mapInArrow(_strings, schema), "strings")
     ranks = suffix_ranks(strings.select("sid", "pos", "sym"), DEPTH)
     tidy(found)
-    ordered = places(strings.select("sid", "pos", "packed", "bytes_key", "ahead", "reach").join(ranks, ["sid", "pos"]), ["rank", "sid", "pos"], "place")
+    order = places(ranks, ["rank", "sid", "pos"], "place").select("sid", "pos", "place")
+    ordered = strings.select("sid", "pos", "packed", "bytes_key", "ahead", "reach").join(order, ["sid", "pos"])
     # blocks of the order; a block's first and last row also stand in the block beside it
     size = 1024
     block, inside = F.floor(F.col("place") / size), F.col("place") % size
