@@ -39,7 +39,7 @@ from .common import pieces, ship, stash, tidy
 
 ship(__name__)
 
-HOT_WORDS = 1 << 20
+HOT_WORDS = 5 << 18
 HOT_BYTES = 64
 FLUSH_WORDS = 1_000_000
 MEMO_PARTS = 500_000
@@ -60,6 +60,7 @@ class Vocabulary:
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.pieces = {i: p for p, i in self.ids.items()} | {i: p for p, i in self.special.items()}
+        self.kind = "<u2" if max(self.pieces) < 1 << 16 else "<u4"  # how ids travel
         self.split = regex.compile(WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
@@ -214,7 +215,7 @@ def _encoded(source):
                             parts.clear()
                         found = parts[part] = v.encode_word(part)
                     ids += found
-                packed.append(np.array(ids, "<u4").tobytes())
+                packed.append(np.array(ids, v.kind).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], schema=schema)
 
     return run
@@ -248,6 +249,7 @@ def _parsed(source, hot):
 
     def run(batches):
         v, press = _vocabulary(source), zstandard.ZstdCompressor(level=1)
+        hot.value.pop("ids", None)  # a worker holds what its stage needs
         place = kept(hot, "place", lambda held: {w: k for k, w in enumerate(hot_part(hot, "words"))})
         base = len(place)
         for batch in (b for whole in batches for b in pieces(whole)):
@@ -271,7 +273,11 @@ def _finished(source, hot):
     def run(batches):
         unpress = zstandard.ZstdDecompressor()
         spelled = kept(source, "pieces", lambda held: _piece_list(_vocabulary(source)))
-        ids_of, base = hot_part(hot, "ids"), len(hot_part(hot, "words"))
+        kind = _vocabulary(source).kind
+        for unused in ("place", "words"):
+            hot.value.pop(unused, None)
+        base = hot.value["count"]
+        ids_of = hot_part(hot, "ids")
         for batch in (b for whole in batches for b in pieces(whole)):
             ids_out, text_out = [], []
             for packed, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -279,8 +285,9 @@ def _finished(source, hot):
                 # this text's rare words stand behind the hot ones, in order of their numbers; repeated rows bring them repeatedly
                 rare = {x["number"]: x["ids"] for x in found or []}
                 ids_of[base:] = [rare[k] for k in range(len(rare))]
-                ids_out.append(b"".join(map(ids_of.__getitem__, numbers)))
-                text_out.append(" ".join(map(spelled.__getitem__, np.frombuffer(ids_out[-1], "<u4").tolist())))
+                ids = np.frombuffer(b"".join(map(ids_of.__getitem__, numbers)), kind)
+                ids_out.append(ids.astype("<u4").tobytes())
+                text_out.append(" ".join(map(spelled.__getitem__, ids.tolist())))
             lengths = pa.array([len(x) // 4 for x in ids_out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array(ids_out, pa.binary()), pa.array(text_out, pa.string())], schema=schema)
 
@@ -313,7 +320,7 @@ def hot_table(hot: DataFrame) -> dict[str, bytes]:
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, rows.schema) as stream:
         stream.write_table(rows)
-    return {"table": zstandard.ZstdCompressor(level=3).compress(out.getvalue().to_pybytes())}
+    return {"count": rows.num_rows, "table": zstandard.ZstdCompressor(level=3).compress(out.getvalue().to_pybytes())}
 
 
 def encode_and_decode(docs: DataFrame, vocabulary_json: str, hot_words: int = HOT_WORDS) -> DataFrame:
