@@ -4,6 +4,7 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from voxlake.llm import bpe
@@ -49,5 +50,14 @@ def test_query_with_and_without_hot_words(spark):
         assert got == expected, hot
 
 
+def test_texts_of_one_id_whose_32_bit_hashes_agree(spark):
+    pairs = [("word70213", "word251767"), ("word226440", "word231255"), ("word50830", "word123705")]
+    rows = [(d, t) for a, b in pairs for d in (None, 7) for t in (a, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert docs.select(F.hash("text")).distinct().count() == len(pairs)
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op8_bpe(docs, SOURCE, 0).collect())
+    assert got == sorted((str(d), *want(t)) for d, t in rows)
+
+
 def test_empty_table(spark):
     assert bpe.op8_bpe(spark.createDataFrame([], "doc_id long, text string"), SOURCE).count() == 0

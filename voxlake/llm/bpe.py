@@ -18,7 +18,7 @@ vocabulary, and joins the pieces.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
 string; equal texts have equal results; rows with equal or null doc_id are told
-apart by a hash of their texts; an empty table gives no rows; extra columns are
+apart by a 64-bit hash of their texts; an empty table gives no rows; extra columns are
 ignored.
 """
 
@@ -245,7 +245,7 @@ def _expanded(data: bytes) -> np.ndarray:
 
 def _parsed(source, hot):
     """Per text: its words as numbers (hot ones by place in ``hot``, rare ones above), and the rare words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int32()), ("packed", pa.binary()), ("rare", pa.list_(pa.string()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("packed", pa.binary()), ("rare", pa.list_(pa.string()))])
 
     def run(batches):
         v, press = _vocabulary(source), zstandard.ZstdCompressor(level=1)
@@ -334,9 +334,9 @@ def encode_and_decode(docs: DataFrame, vocabulary_json: str, hot_words: int = HO
     bound = hot_bound(words, hot_words)
     is_hot = F.lit(False) if bound is None else _short() & (_step() >= bound)
     hot = context.broadcast(hot_table(words.where(is_hot)))
-    # rows that agree in both keys have equal texts, and so equal results
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), "text")
-    parsed = keyed.mapInArrow(_parsed(source, hot), "doc_id long, text_hash int, packed binary, rare array<string>")
+    # rows that agree in both keys have equal texts (but for a collision of 64 bits under one id), and so equal results
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    parsed = keyed.mapInArrow(_parsed(source, hot), "doc_id long, text_hash long, packed binary, rare array<string>")
     parsed = parsed.withColumn("key", F.coalesce("doc_id", F.lit(-1)))
     rare = parsed.select("key", "text_hash", F.posexplode("rare").alias("number", "word"))
     # dealt as plain rows: lists would travel at twice the size
