@@ -81,3 +81,16 @@ def test_empty_table_and_repeated_rows(spark):
     nulls = spark.createDataFrame([(None, "p q r", "", ""), (9, "p q r", "", "")], SCHEMA)
     assert {r.component_id for r in simhash.op1_simhash_near_dedup(nulls).collect()} == {9}
     assert simhash.op1_simhash_near_dedup(nulls.select("doc_id", F.lit(None).cast("string").alias("text"))).count() == 2
+
+
+def test_one_of_each_keeps_one_row_of_every_group(spark):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(7)]
+    rows = [(None, base[0]), (None, base[0]), (None, base[1]), (4, base[2]), (4, base[2]), (4, base[3])]  # null-only groups; one id over unrelated texts
+    rows += [(2, base[4]), (6, base[4]), (6, base[5])]  # id 6 is a copy in one group and the least id of another
+    rows += [(None, base[6]), (9, base[6]), (11, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "x", f"row {k}") for k, (d, t) in enumerate(rows)], SCHEMA)
+    kept = simhash.one_of_each(docs)
+    want = [(None, base[0]), (None, base[1]), (4, base[2]), (4, base[3]), (2, base[4]), (6, base[5]), (9, base[6]), (11, None)]
+    assert kept.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}

@@ -24,11 +24,12 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, ship, stash
+from .mixing import row_key
 
 ship(__name__)
 
@@ -105,13 +106,18 @@ def links(nodes: DataFrame) -> DataFrame:
     return v.alias("a").hint("merge").join(v.alias("b").hint("merge"), condition).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
+def _rooted(prints: DataFrame, row: Column) -> DataFrame:
+    """``(fp, first, root)``: of each fingerprint the least ``row`` and the root of its component."""
+    nodes = stash(prints.groupBy("fp").agg(F.min(row).alias("first")), "nodes")
+    found = components(links(nodes))
+    return nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row: fingerprint and least doc_id reachable over links."""
     prints = stash(docs.select("doc_id", _fingerprints(F.col("text")).alias("fp")), "fingerprints")
-    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    found = components(links(nodes))
-    roots = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    roots = _rooted(prints, F.col("doc_id"))
+    named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = roots.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
@@ -122,7 +128,12 @@ def op1_simhash_near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Keep of every group the rows with its least doc_id; among rows with that id, one."""
-    keep = near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    by_id = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
-    return by_id.dropDuplicates(["doc_id"])
+    """Keep one row of every group: of its rows with the least doc_id (null last) one with the least hash of its text.
+
+    Rows are known by doc_id and a 64-bit hash of the text, so null and repeated ids keep a row in each of their groups."""
+    keyed = docs.withColumn("_key", row_key()).withColumn("_hash", F.xxhash64("text"))
+    prints = stash(keyed.select("doc_id", "_key", "_hash", _fingerprints(F.col("text")).alias("fp")), "fingerprints")
+    roots = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_hash"))
+    keep = roots.groupBy("root").agg(F.min("first").alias("first")).select("first._key", "first._hash")
+    # copies go before texts travel, so a large group of them does not meet in one task
+    return keyed.dropDuplicates(["_key", "_hash"]).join(keep, ["_key", "_hash"], "left_semi").select(*docs.columns)
