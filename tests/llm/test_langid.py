@@ -52,3 +52,13 @@ def test_windows_cover_all_bytes_and_tables_equal_the_convolution():
     z = (z * fresh[:, None]).sum(0) / fresh.sum()
     want = np.exp(z) / np.exp(z).sum()
     assert np.allclose(L.classify([text, None], net, net.tables())[0], want, atol=1e-4)
+
+
+def test_training_takes_as_many_windows_of_a_text_as_the_constant_says(monkeypatch):
+    texts, drawn = ["the an ing " * 300, "sch ein ung " * 300], []
+    whole = L.np.bincount
+    monkeypatch.setattr(L.np, "bincount", lambda y, **k: drawn.append(len(y)) or whole(y, **k))
+    for n in (2, 5):
+        monkeypatch.setattr(L, "TRAIN_WINDOWS", n)
+        L.train(texts, ["aa", "bb"], epochs=1)
+    assert drawn == [4, 10]

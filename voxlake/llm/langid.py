@@ -2,7 +2,8 @@
 
 Training (numpy, on the driver): a bounded sample of labelled rows, ``SAMPLE``
 documents at most, those with the least hash of doc_id, and of each a slice of
-``SLICE`` characters at most; rows of fold 1 are never seen. Bytes are embedded, convolved by filters of widths two, three
+``SLICE`` characters at most, from which ``TRAIN_WINDOWS`` random windows of ``LENGTH``
+bytes at most are learned; rows of fold 1 are never seen. Bytes are embedded, convolved by filters of widths two, three
 and four, max-pooled over a window of ``LENGTH`` bytes, and classified by
 softmax; Adam on the cross-entropy.
 
@@ -36,6 +37,7 @@ ship(__name__)
 LENGTH = 256
 SAMPLE = 1600
 SLICE = 8192
+TRAIN_WINDOWS = 4
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
@@ -81,7 +83,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
     x, y = [], []
     for text, label in zip(texts, labels):
         found = windows((text or "").encode("utf-8", "replace"))[0]
-        pick = rng.permutation(len(found))[:4]
+        pick = rng.permutation(len(found))[:TRAIN_WINDOWS]
         x.append(found[pick])
         y += [names.index(label)] * len(pick)
     x, y = np.concatenate(x), np.array(y)
