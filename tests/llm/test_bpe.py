@@ -4,7 +4,7 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers
-from pyspark.sql import functions as F
+import pytest
 from tokenizers import Tokenizer
 
 from voxlake.llm import bpe
@@ -41,22 +41,44 @@ def test_words_and_merges_as_the_library(spark):
         assert v.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
-def test_query_with_and_without_hot_words(spark):
+def answers(df):
+    return sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op8_bpe(df, SOURCE).collect())
+
+
+def test_query_with_blocks_of_any_size(spark, monkeypatch):
     rows = [(i % 590, t, "clash") for i, t in enumerate(texts())] + [(None, "no id", ""), (None, "none either", ""), (3, "twice twice", ""), (3, "twice twice", "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     expected = sorted((str(d), *want(t)) for d, t, _ in rows)
-    for hot in (bpe.HOT_WORDS, 40, 0):
-        got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op8_bpe(docs, SOURCE, hot).collect())
-        assert got == expected, hot
+    assert answers(docs) == expected
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(bpe, "ANSWER_ROWS", 50)
+    monkeypatch.setattr(bpe, "ROW_WORDS", 20)
+    assert answers(docs) == expected
+
+
+def test_texts_of_one_id(spark):
+    rows = [(d, t) for d in (None, 7) for t in ["word70213", "word251767", "word226440", "word231255", None, "", "word70213"] * 3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answers(docs) == sorted((str(d), *want(t)) for d, t in rows)
 
 
-def test_texts_of_one_id_whose_32_bit_hashes_agree(spark):
-    pairs = [("word70213", "word251767"), ("word226440", "word231255"), ("word50830", "word123705")]
-    rows = [(d, t) for a, b in pairs for d in (None, 7) for t in (a, b)]
+def test_one_word_in_every_text_and_one_very_long_text(spark):
+    rows = [(k, f"the word{k % 50}") for k in range(3000)] + [(9999, " ".join(f"w{k % 7001}" for k in range(200_000)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert docs.select(F.hash("text")).distinct().count() == len(pairs)
-    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op8_bpe(docs, SOURCE, 0).collect())
-    assert got == sorted((str(d), *want(t)) for d, t in rows)
+    assert answers(docs) == sorted((str(d), *want(t)) for d, t in rows)
+
+
+def test_a_partition_that_is_read_in_another_order_raises(spark):
+    source = spark.sparkContext.broadcast({"json": SOURCE})
+    told = [b.to_pylist()[0] for b in bpe._packed_texts(source)(iter([bpe.pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b"]})]))]
+    batch = bpe.pa.RecordBatch.from_pylist(told, schema=bpe._MET)
+    with pytest.raises(RuntimeError):
+        list(bpe._finished(source)(iter([batch])))
+
+
+def test_another_splitter_is_refused():
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(SOURCE.replace("'re|'ve", "'ve|'re"))
 
 
 def test_empty_table(spark):

@@ -1,48 +1,56 @@
 """BPE encoding and decoding over a table of distinct words.
 
 Words are the runs between white space; the vocabulary file's normalizer,
-splitter and special tokens never look across it. The distinct words of all
-texts form a table; each is encoded once: normalized, split as the file says,
-and the file's merges applied in order of rank. The results are joined back by
-position:
-
-* the most frequent words, ``HOT_WORDS`` at most and each of at most
-  ``HOT_BYTES`` bytes, travel as a broadcast dictionary, whose size is bounded by
-  these two numbers whatever the input;
-* all other words are joined on the word: every text emits each of its rare
-  words once, the join returns its ids, and the text's own rare words meet its
-  compact form (numbers of hot and rare words in order) again by doc_id.
-
-Decoding looks ids up in the id-to-piece table, which is as large as the
-vocabulary, and joins the pieces.
+splitter and special tokens never look across it. Three steps, in which no row
+grows with the corpus:
+
+* *Split.* The texts of a partition form blocks of ``BLOCK_ROWS`` texts or
+  ``BLOCK_BYTES`` bytes. A block numbers its distinct words, the most frequent
+  first, and sends each once, as ``(word, block, number)``. This is the
+  aggregation before the shuffle: the most frequent word of all is one row for
+  each block.
+* *Distinct words.* The rows are dealt and sorted by word; each distinct word is
+  encoded once and its ids go back to every ``(block, number)`` that has it.
+* *Join by position.* A block's texts, as numbers in order, meet the block's
+  ids. Decoding looks every id up in the id-to-piece table, which is as large as
+  the vocabulary and is sent to all workers.
+
+A block is known by a 128-bit digest of its numbered words, so that numbers
+never meet the ids of other words: should a partition be read again in another
+order, its block finds no ids and the task raises. Texts themselves have no key:
+null and repeated doc_ids need no care.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
-string; equal texts have equal results; rows with equal or null doc_id are told
-apart by a 64-bit hash of their texts; an empty table gives no rows; extra columns are
-ignored.
+string; equal texts have equal results; each row has a row of its own, whatever
+its doc_id; an empty table gives no rows; extra columns are ignored; a file with
+another splitter than ``WORDS`` is refused.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections import Counter
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, stash, tidy
+from .common import pieces, ship
 
 ship(__name__)
 
-HOT_WORDS = 5 << 18
-HOT_BYTES = 64
-FLUSH_WORDS = 1_000_000
-MEMO_PARTS = 500_000
+BLOCK_ROWS = 4096
+BLOCK_BYTES = 16 << 20
+#: Words of the texts that one packed row holds (one text at least), rows of words that are answered together, parts of words that a task remembers.
+ROW_WORDS = 1 << 18
+ANSWER_ROWS = 1 << 19
+MEMO_PARTS = 1 << 16
 #: The splitter of the vocabulary file.
 _SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"  # white space for str.split, but not for the splitter
@@ -55,12 +63,13 @@ class Vocabulary:
     def __init__(self, source: str):
         data = json.loads(source)
         model = data["model"]
+        if WORDS not in (s["pattern"].get("Regex") for s in data["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"):
+            raise ValueError("the vocabulary file splits words in another way")
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.pieces = {i: p for p, i in self.ids.items()} | {i: p for p, i in self.special.items()}
-        self.kind = "<u2" if max(self.pieces) < 1 << 16 else "<u4"  # how ids travel
         self.split = regex.compile(WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
@@ -172,180 +181,206 @@ def _piece_list(v: Vocabulary) -> list[str]:
     return [v.pieces.get(i, "") for i in range(max(v.pieces) + 1)]
 
 
-def hot_part(shared, column: str) -> list:
-    """A column of the hot table, which travels as a compressed Arrow table."""
-    return kept(shared, column, lambda held: pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(held["table"])).read_all().column(column).to_pylist())
-
-
-def _word_counts(source):
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+def _blocks(batches):
+    """The rows of a partition as tables of ``BLOCK_ROWS`` texts or ``BLOCK_BYTES`` bytes."""
+    held, rows, size = [], 0, 0
+    for piece in (p for batch in batches for p in pieces(batch, 256)):
+        held, rows, size = [*held, piece], rows + piece.num_rows, size + piece.nbytes
+        if rows >= BLOCK_ROWS or size >= BLOCK_BYTES:
+            yield pa.Table.from_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbered(v: Vocabulary, texts: pa.ChunkedArray) -> tuple[bytes, list[str], np.ndarray, np.ndarray]:
+    """Of a block's texts: digest and list of the distinct words, most frequent first; all words as numbers; words of each text."""
+    place: dict[str, int] = defaultdict(count().__next__)
+    numbers, sizes = [], []
+    for chunk in texts.chunks:
+        for text in chunk.to_pylist():
+            words = v.runs(text or "")
+            numbers.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+            sizes.append(len(words))
+    flat = np.concatenate(numbers)
+    order = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")
+    rank = np.empty(len(place), np.int32)
+    rank[order] = np.arange(len(place), dtype=np.int32)
+    found = list(place)
+    words = [found[k] for k in order.tolist()]
+    digest = xxhash.xxh3_128()
+    for at in range(0, len(words), 4096):
+        digest.update("\n".join(words[at : at + 4096]).encode("utf-8", "replace") + b"\n")
+    return digest.digest(), words, rank[flat], np.array(sizes, np.int64)
+
+
+def _words(source):
+    """Of (text): ``(block, number, word)`` of each block's distinct words."""
+    schema = pa.schema([("block", pa.binary()), ("number", pa.int32()), ("word", pa.string())])
 
     def run(batches):
-        v, seen = _vocabulary(source), Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
-            seen.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(v.runs(text or ""))
-                if len(seen) > FLUSH_WORDS:
-                    yield flush()
-        yield flush()
+        v = _vocabulary(source)
+        for table in _blocks(batches):
+            block, words, _, _ = _numbered(v, table.column("text"))
+            for at in range(0, len(words), 1 << 14):
+                part = words[at : at + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.binary()), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.string())], schema=schema)
 
     return run
 
 
-def _encoded(source):
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("ids", pa.binary())])
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers below 2^32, like bytes together, compressed."""
+    planes = b"".join(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays)
+    return b"".join(len(a).to_bytes(4, "little") for a in arrays) + zstandard.ZstdCompressor(level=3).compress(planes)
 
-    def run(batches):
-        v = _vocabulary(source)
-        parts: dict[str, list[int]] = {}  # many words share a part: case and punctuation aside they are equal
-        for batch in batches:
-            packed = []
-            for word in batch.column(0).to_pylist():
-                ids: list[int] = []
-                for part in v.words(word):
-                    found = parts.get(part)
-                    if found is None:
-                        if len(parts) >= MEMO_PARTS:
-                            parts.clear()
-                        found = parts[part] = v.encode_word(part)
-                    ids += found
-                packed.append(np.array(ids, v.kind).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], schema=schema)
 
-    return run
+def unpacked(data: bytes, arrays: int) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, "<u4", arrays).astype(np.int64)
+    planes = zstandard.ZstdDecompressor().decompress(data[4 * arrays :], max_output_size=max(1, int(4 * sizes.sum())))
+    ends = 4 * np.cumsum(sizes)
+    each = (np.frombuffer(planes, np.uint8, int(4 * n), int(e - 4 * n)).reshape(4, -1) for n, e in zip(sizes, ends))
+    return [np.ascontiguousarray(p.T).view("<u4").ravel().astype(np.int64) for p in each]
 
 
-def _squeezed(numbers: np.ndarray) -> bytes:
-    """Small numbers in one byte, others in three, like bytes together; four plain bytes each if a number passes 2^22."""
-    high = numbers >> 16
-    if high.max(initial=0) > 63:
-        return b"\0" + numbers.astype("<u4").tobytes()
-    big = numbers >= 192
-    rest = numbers[big]
-    first = np.where(big, 192 + high, numbers).astype(np.uint8)
-    return b"\1" + len(numbers).to_bytes(4, "little") + first.tobytes() + (rest & 255).astype(np.uint8).tobytes() + (rest >> 8 & 255).astype(np.uint8).tobytes()
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``starts``, end to end."""
+    total = int(sizes.sum())
+    return values[np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
 
 
-def _expanded(data: bytes) -> np.ndarray:
-    if data[0] == 0:
-        return np.frombuffer(data, "<u4", offset=1)
-    n = int.from_bytes(data[1:5], "little")
-    out = np.frombuffer(data, np.uint8, n, 5).astype(np.int64)
-    big = np.flatnonzero(out >= 192)
-    rest = np.frombuffer(data, np.uint8, 2 * len(big), 5 + n).astype(np.int64)
-    out[big] = (out[big] - 192 << 16) | rest[len(big) :] << 8 | rest[: len(big)]
-    return out
+_MET = pa.schema([("block", pa.binary()), ("kind", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("data", pa.binary())])
+_MET_SCHEMA = "block binary, kind int, doc_ids array<long>, data binary"
 
 
-def _parsed(source, hot):
-    """Per text: its words as numbers (hot ones by place in ``hot``, rare ones above), and the rare words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("packed", pa.binary()), ("rare", pa.list_(pa.string()))])
+def _answers(source):
+    """Of rows (block, number, word) sorted by word: the ids of the words, one row for each block of every ``ANSWER_ROWS``."""
 
     def run(batches):
-        v, press = _vocabulary(source), zstandard.ZstdCompressor(level=1)
-        hot.value.pop("ids", None)  # a worker holds what its stage needs
-        place = kept(hot, "place", lambda held: {w: k for k, w in enumerate(hot_part(hot, "words"))})
-        base = len(place)
-        for batch in (b for whole in batches for b in pieces(whole)):
-            packed, rares = [], []
-            for text in batch.column(2).to_pylist():
-                words = v.runs(text or "")
-                numbers = list(map(place.get, words))
-                rare: dict[str, int] = {}
-                if None in numbers:
-                    numbers = [base + rare.setdefault(w, len(rare)) if k is None else k for k, w in zip(numbers, words)]
-                packed.append(press.compress(_squeezed(np.array(numbers, np.int64))))
-                rares.append(list(rare))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(rares, pa.list_(pa.string()))], schema=schema)
+        v = _vocabulary(source)
+        parts: dict[str, list[int]] = {}  # many words share a part: case and punctuation aside they are equal
+        last: tuple[str | None, list[int]] = (None, [])
+        held, rows = [], 0
+
+        def encoded(word: str) -> list[int]:
+            ids: list[int] = []
+            for part in v.words(word):
+                found = parts.get(part)
+                if found is None:
+                    if len(parts) >= MEMO_PARTS:
+                        parts.clear()
+                    found = parts[part] = v.encode_word(part)
+                ids += found
+            return ids
+
+        def answered():
+            names = pa.chunked_array([pa.array(h[0], pa.binary()) for h in held]).combine_chunks().dictionary_encode()
+            block = names.indices.to_numpy().astype(np.int64)
+            number, size = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            ids = np.concatenate([h[3] for h in held])
+            starts = np.cumsum(size) - size
+            order = np.lexsort((number, block))
+            cuts = np.append(np.flatnonzero(np.diff(block[order], prepend=-1)), len(order))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                at = order[a:b]
+                data = packed(np.diff(number[at], prepend=0), size[at], gathered(ids, starts[at], size[at]))
+                yield pa.RecordBatch.from_arrays([pa.array([names.dictionary[int(block[at[0]])].as_py()], pa.binary()), pa.array([0], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([data], pa.binary())], schema=_MET)
+
+        for batch in batches:
+            word = batch.column(2).dictionary_encode()
+            lists = [last[1] if w == last[0] else encoded(w) for w in word.dictionary.to_pylist()]
+            codes = word.indices.to_numpy().astype(np.int64)
+            if not len(codes):
+                continue
+            last = (word.dictionary[int(codes[-1])].as_py(), lists[int(codes[-1])])
+            each = np.array([len(x) for x in lists], np.int64)
+            flat = np.array([i for x in lists for i in x], np.int64)
+            size = each[codes]
+            # a copy of its own, so that the batch can go
+            held.append((batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.int64), size, gathered(flat, (np.cumsum(each) - each)[codes], size)))
+            rows += len(codes)
+            if rows >= ANSWER_ROWS:
+                yield from answered()
+                held, rows = [], 0
+        if held:
+            yield from answered()
 
     return run
 
 
-def _finished(source, hot):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+def _packed_texts(source):
+    """Of (doc_id, text): rows with the doc_ids of some texts of a block and their words as numbers."""
 
     def run(batches):
-        unpress = zstandard.ZstdDecompressor()
-        spelled = kept(source, "pieces", lambda held: _piece_list(_vocabulary(source)))
-        kind = _vocabulary(source).kind
-        for unused in ("place", "words"):
-            hot.value.pop(unused, None)
-        base = hot.value["count"]
-        ids_of = hot_part(hot, "ids")
-        for batch in (b for whole in batches for b in pieces(whole)):
-            ids_out, text_out = [], []
-            for packed, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                numbers = _expanded(unpress.decompress(packed)).tolist()
-                # this text's rare words stand behind the hot ones, in order of their numbers; repeated rows bring them repeatedly
-                rare = {x["number"]: x["ids"] for x in found or []}
-                ids_of[base:] = [rare[k] for k in range(len(rare))]
-                ids = np.frombuffer(b"".join(map(ids_of.__getitem__, numbers)), kind)
-                ids_out.append(ids.astype("<u4").tobytes())
-                text_out.append(" ".join(map(spelled.__getitem__, ids.tolist())))
-            lengths = pa.array([len(x) // 4 for x in ids_out], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array(ids_out, pa.binary()), pa.array(text_out, pa.string())], schema=schema)
+        v = _vocabulary(source)
+        for table in _blocks(batches):
+            block, words, numbers, sizes = _numbered(v, table.column("text"))
+            ids = table.column("doc_id").to_pylist()
+            ends = np.cumsum(sizes)
+            at = 0
+            while at < len(ids):
+                began = int(ends[at] - sizes[at])
+                upto = max(at + 1, min(at + 256, int(np.searchsorted(ends, began + ROW_WORDS, "right"))))
+                data = packed(np.array([len(words)]), sizes[at:upto], numbers[began : int(ends[upto - 1])])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([1], pa.int32()), pa.array([ids[at:upto]], pa.list_(pa.int64())), pa.array([data], pa.binary())], schema=_MET)
+                at = upto
 
     return run
 
 
-def hot_bound(words: DataFrame, most: int) -> int | None:
-    """The least step of counts that ``most`` words at most reach, read off a histogram."""
-    total, bound = 0, None
-    for row in sorted(words.where(_short()).groupBy(_step().alias("step")).count().collect(), reverse=True):
-        total += row["count"]
-        if total > most:
-            break
-        bound = row["step"]
-    return bound
-
+def _finished(source):
+    """Of rows sorted by block, a block's ids before its texts: the ids and the decoded text of each text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
-def _short():
-    return F.octet_length("word") <= HOT_BYTES
+    def joined(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, sizes and ids by number; blocks with the same words bring the same answers again."""
+        whole = [unpacked(x, 3) for x in answers]
+        number = np.concatenate([np.cumsum(x[0]) for x in whole] or [np.zeros(0, np.int64)])
+        size = np.concatenate([x[1] for x in whole] or [np.zeros(0, np.int64)])
+        ids = np.concatenate([x[2] for x in whole] or [np.zeros(0, np.int64)])
+        starts = np.cumsum(size) - size
+        n = int(number.max(initial=-1)) + 1
+        at, of = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        at[number], of[number] = starts, size
+        return at, of, ids
 
+    def run(batches):
+        spelled = kept(source, "pieces", lambda held: _piece_list(_vocabulary(source)))
+        block, answers, table = None, [], None
+        for batch in (b for whole in batches for b in pieces(whole, 16)):
+            for name, kind, doc_ids, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if name != block:
+                    block, answers, table = name, [], None
+                if kind == 0:
+                    answers.append(data)
+                    continue
+                if table is None:
+                    table, answers = joined(answers), []
+                starts, of, ids = table
+                words, sizes, numbers = unpacked(data, 3)
+                if len(starts) != words[0] or starts.min(initial=0) < 0:
+                    raise RuntimeError("a partition of the texts was read twice with different rows; write the table first")
+                flat = gathered(ids, starts[numbers], of[numbers])
+                tokens = np.add.reduceat(np.append(of[numbers], 0), np.append(0, np.cumsum(sizes))[:-1].clip(max=len(numbers))) * (sizes > 0) if len(sizes) else sizes
+                ends = np.cumsum(tokens)
+                plain, raw = flat.tolist(), flat.astype("<u4").tobytes()
+                ids_out = [raw[4 * int(e - n) : 4 * int(e)] for e, n in zip(ends, tokens)]
+                text_out = [" ".join(map(spelled.__getitem__, plain[int(e - n) : int(e)])) for e, n in zip(ends, tokens)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids_out, pa.binary()), pa.array(text_out, pa.string())], schema=schema)
 
-def _step():
-    return F.floor(F.log2("n") * 16).cast("int")
+    return run
 
 
-def hot_table(hot: DataFrame) -> dict[str, bytes]:
-    """The hot words and their ids, the most frequent first."""
-    rows = hot.select("n", "word", "ids").toArrow()
-    rows = rows.take(np.argsort(-rows.column("n").to_numpy(), kind="stable")).select(["word", "ids"]).rename_columns(["words", "ids"])
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, rows.schema) as stream:
-        stream.write_table(rows)
-    return {"count": rows.num_rows, "table": zstandard.ZstdCompressor(level=3).compress(out.getvalue().to_pybytes())}
+def encode_and_decode(docs: DataFrame, vocabulary_json: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids, decoded)``: ids as little-endian unsigned 32-bit integers."""
+    source = docs.sparkSession.sparkContext.broadcast({"json": vocabulary_json})
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # both readings see the same columns, so that they see the same partitions
+    words = keyed.mapInArrow(_words(source), "block binary, number int, word string").repartition("word").sortWithinPartitions("word")
+    met = words.mapInArrow(_answers(source), _MET_SCHEMA).unionByName(keyed.mapInArrow(_packed_texts(source), _MET_SCHEMA))
+    return met.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_finished(source), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
-def encode_and_decode(docs: DataFrame, vocabulary_json: str, hot_words: int = HOT_WORDS) -> DataFrame:
-    """``(doc_id, n_tokens, ids, decoded)``: ids as little-endian unsigned 32-bit integers."""
-    context = docs.sparkSession.sparkContext
-    source = context.broadcast({"json": vocabulary_json})
-    counts = docs.select("text").mapInArrow(_word_counts(source), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = stash(counts.mapInArrow(_encoded(source), "word string, n long, ids binary"), "words")
-    del counts
-    tidy(docs)
-    bound = hot_bound(words, hot_words)
-    is_hot = F.lit(False) if bound is None else _short() & (_step() >= bound)
-    hot = context.broadcast(hot_table(words.where(is_hot)))
-    # rows that agree in both keys have equal texts (but for a collision of 64 bits under one id), and so equal results
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    parsed = keyed.mapInArrow(_parsed(source, hot), "doc_id long, text_hash long, packed binary, rare array<string>")
-    parsed = parsed.withColumn("key", F.coalesce("doc_id", F.lit(-1)))
-    rare = parsed.select("key", "text_hash", F.posexplode("rare").alias("number", "word"))
-    # dealt as plain rows: lists would travel at twice the size
-    met = rare.join(words.where(~is_hot).select("word", "ids"), "word").select("key", "text_hash", "number", "ids").repartition("key", "text_hash")
-    found = met.groupBy("key", "text_hash").agg(F.collect_list(F.struct("number", "ids")).alias("found"))
-    whole = parsed.select("doc_id", "key", "text_hash", "packed").join(found, ["key", "text_hash"], "left")
-    return whole.select("doc_id", "packed", "found").mapInArrow(_finished(source, hot), "doc_id long, n_tokens long, ids binary, decoded string")
-
-
-def op8_bpe(docs: DataFrame, vocabulary_json: str, hot_words: int = HOT_WORDS) -> DataFrame:
-    out = encode_and_decode(docs, vocabulary_json, hot_words)
+def op8_bpe(docs: DataFrame, vocabulary_json: str) -> DataFrame:
+    out = encode_and_decode(docs, vocabulary_json)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
