@@ -30,11 +30,10 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections import defaultdict
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -70,13 +69,22 @@ class Vocabulary:
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.pieces = {i: p for p, i in self.ids.items()} | {i: p for p, i in self.special.items()}
+        # merges over ids: a pair in one integer, its rank, and the id that a rank makes
+        self.wide = 1 << max(self.pieces).bit_length()
+        self.pair_ranks = {self.ids[a] * self.wide + self.ids[b]: k for (a, b), k in self.ranks.items()}
+        self.made = [self.ids[a + b] for a, b in self.ranks]
         self.split = regex.compile(WORDS)
+        self.marks = {t[0] for t in self.special}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
+        self.first = [self.ids[c] for c in self.letters]
+        self.final = [self.ids[c + self.end] for c in self.letters]
 
     def words(self, text: str) -> list[str]:
         """The words of a text in order; a special token is a word of its own."""
-        parts = self.specials.split(text) if self.specials and any(s in text for s in self.special) else [text]
+        if text.isalpha() and max(text) < "\u0100":  # letters that NFC keeps: one word
+            return [text.lower()]
+        parts = self.specials.split(text) if any(m in text for m in self.marks) else [text]
         out: list[str] = []
         for part in parts:
             if part in self.special:
@@ -95,23 +103,26 @@ class Vocabulary:
         """Merge the pair of least rank, leftmost first, until no pair has a rank."""
         if word in self.special:
             return [self.special[word]]
-        parts = [self.letters[b] for b in word.encode("utf-8", "replace")]
-        if not parts:
+        data = word.encode("utf-8", "replace")
+        if not data:
             return []
-        parts[-1] += self.end
-        if len(parts) > 64:
+        if len(data) > 64:
+            parts = [self.letters[b] for b in data]
+            parts[-1] += self.end
             return [self.ids[p] for p in merge_long(parts, self.ranks)]
-        rank, none = self.ranks.get, len(self.ranks)
-        order = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        ids = [self.first[b] for b in data]
+        ids[-1] = self.final[data[-1]]
+        rank, none, wide, made = self.pair_ranks.get, len(self.made), self.wide, self.made
+        order = [rank(a * wide + b, none) for a, b in zip(ids, ids[1:])]
         while order and (low := min(order)) < none:
             i = order.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del order[i]
+            new = ids[i] = made[low]
+            del ids[i + 1], order[i]
             if i:
-                order[i - 1] = rank((parts[i - 1], parts[i]), none)
+                order[i - 1] = rank(ids[i - 1] * wide + new, none)
             if i < len(order):
-                order[i] = rank((parts[i], parts[i + 1]), none)
-        return [self.ids[p] for p in parts]
+                order[i] = rank(new * wide + ids[i + 1], none)
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.pieces[i] for i in ids)
@@ -176,9 +187,9 @@ def _vocabulary(shared) -> Vocabulary:
     return kept(shared, "vocabulary", lambda held: Vocabulary(held["json"]))
 
 
-def _piece_list(v: Vocabulary) -> list[str]:
+def _piece_list(v: Vocabulary) -> pa.Array:
     """The id-to-piece table."""
-    return [v.pieces.get(i, "") for i in range(max(v.pieces) + 1)]
+    return pa.array([v.pieces.get(i, "") for i in range(max(v.pieces) + 1)], pa.string())
 
 
 def _blocks(batches):
@@ -193,25 +204,36 @@ def _blocks(batches):
         yield pa.Table.from_batches(held)
 
 
-def _numbered(v: Vocabulary, texts: pa.ChunkedArray) -> tuple[bytes, list[str], np.ndarray, np.ndarray]:
-    """Of a block's texts: digest and list of the distinct words, most frequent first; all words as numbers; words of each text."""
-    place: dict[str, int] = defaultdict(count().__next__)
-    numbers, sizes = [], []
-    for chunk in texts.chunks:
-        for text in chunk.to_pylist():
-            words = v.runs(text or "")
-            numbers.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-            sizes.append(len(words))
-    flat = np.concatenate(numbers)
-    order = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")
-    rank = np.empty(len(place), np.int32)
-    rank[order] = np.arange(len(place), dtype=np.int32)
-    found = list(place)
-    words = [found[k] for k in order.tolist()]
+def _runs(v: Vocabulary, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The runs of all texts end to end, and how many each text has; an empty run may stand where a text begins or ends."""
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    if ((data >= 28) & (data <= 31)).any():  # white space for the vector split, but not for the splitter
+        runs = [v.runs(t or "") for t in texts.to_pylist()]
+        return pa.array([w for r in runs for w in r], pa.string()), np.array([len(r) for r in runs], np.int64)
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _numbered(v: Vocabulary, texts: pa.ChunkedArray) -> tuple[bytes, pa.Array, np.ndarray, np.ndarray]:
+    """Of a block's texts: digest and array of the distinct words, most frequent first; all words as numbers; words of each text."""
+    whole = pa.concat_arrays(texts.chunks)
+    runs, sizes = _runs(v, whole)
+    coded = runs.dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:
+        kept_ = codes != empty
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept_], minlength=len(sizes))
+        codes = codes[kept_]
+    often = np.bincount(codes, minlength=len(coded.dictionary))
+    order = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
+    rank = np.empty(len(often), np.int64)
+    rank[order] = np.arange(len(order))
+    words = coded.dictionary.take(pa.array(order, pa.int64()))
     digest = xxhash.xxh3_128()
-    for at in range(0, len(words), 4096):
-        digest.update("\n".join(words[at : at + 4096]).encode("utf-8", "replace") + b"\n")
-    return digest.digest(), words, rank[flat], np.array(sizes, np.int64)
+    for buffer in words.buffers()[1:]:
+        digest.update(buffer or b"")
+    return digest.digest(), words, rank[codes], sizes
 
 
 def _words(source):
@@ -223,8 +245,8 @@ def _words(source):
         for table in _blocks(batches):
             block, words, _, _ = _numbered(v, table.column("text"))
             for at in range(0, len(words), 1 << 14):
-                part = words[at : at + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.binary()), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.string())], schema=schema)
+                part = words.slice(at, 1 << 14)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.binary()), len(part)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], schema=schema)
 
     return run
 
@@ -361,12 +383,14 @@ def _finished(source):
                 if len(starts) != words[0] or starts.min(initial=0) < 0:
                     raise RuntimeError("a partition of the texts was read twice with different rows; write the table first")
                 flat = gathered(ids, starts[numbers], of[numbers])
-                tokens = np.add.reduceat(np.append(of[numbers], 0), np.append(0, np.cumsum(sizes))[:-1].clip(max=len(numbers))) * (sizes > 0) if len(sizes) else sizes
-                ends = np.cumsum(tokens)
-                plain, raw = flat.tolist(), flat.astype("<u4").tobytes()
-                ids_out = [raw[4 * int(e - n) : 4 * int(e)] for e, n in zip(ends, tokens)]
-                text_out = [" ".join(map(spelled.__getitem__, plain[int(e - n) : int(e)])) for e, n in zip(ends, tokens)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids_out, pa.binary()), pa.array(text_out, pa.string())], schema=schema)
+                ends = np.append(0, np.cumsum(of[numbers]))[np.append(0, np.cumsum(sizes))]
+                tokens = np.diff(ends)
+                if ends[-1] >= 1 << 29:
+                    raise ValueError("a text of over 2^29 tokens")
+                raw = pa.py_buffer(flat.astype("<u4").tobytes())
+                ids_out = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), raw])
+                lists = pa.LargeListArray.from_arrays(pa.array(ends), spelled.take(pa.array(flat)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(tokens), ids_out, pc.binary_join(lists, " ").cast(pa.string())], schema=schema)
 
     return run
 
