@@ -54,11 +54,39 @@ def test_windows_cover_all_bytes_and_tables_equal_the_convolution():
     assert np.allclose(L.classify([text, None], net, net.tables())[0], want, atol=1e-4)
 
 
-def test_training_takes_as_many_windows_of_a_text_as_the_constant_says(monkeypatch):
-    texts, drawn = ["the an ing " * 300, "sch ein ung " * 300], []
-    whole = L.np.bincount
-    monkeypatch.setattr(L.np, "bincount", lambda y, **k: drawn.append(len(y)) or whole(y, **k))
-    for n in (2, 5):
-        monkeypatch.setattr(L, "TRAIN_WINDOWS", n)
-        L.train(texts, ["aa", "bb"], epochs=1)
-    assert drawn == [4, 10]
+def test_training_learns_whole_texts_of_a_bounded_sample(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(L, "train", lambda texts, labels: drawn.append((texts, labels)))
+    rows = [(k, "ab cd " * 400, "xx", k) for k in range(300)] + [(None, "never learned", "yy", 0)] + [(2, f"again {k}", "xx", 0) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, h long")
+    L.learn(docs, 20)
+    L.learn(docs, 300, 10 * 2400 + 100)
+    assert [len(t) for t, _ in drawn] == [20, 10] and {"yy"}.isdisjoint(drawn[0][1]) and {len(t) for t, _ in drawn for t in t} <= {2400, 7, 8}
+
+
+def test_results_of_the_query_against_a_plain_convolution(spark):
+    rng = random.Random(2)
+    words = {"aa": "the and house river over slow".split(), "bb": "der und haus fluss über straße".split()}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(rng.choice([1, 3, 30, 200]))), lang) for k, lang in ((k, rng.choice(["aa", "bb"])) for k in range(120))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = L.learn(docs)
+
+    def plain(text):
+        data, total, weight = text.encode(), np.zeros(len(net.labels)), 0
+        step = L.LENGTH - L.OVERLAP
+        n = max(1, -(-(len(data) - L.OVERLAP) // step))
+        for w in range(n):
+            piece = data[w * step : w * step + L.LENGTH].ljust(L.LENGTH, b"\0")
+            best = np.full(len(net.bias), -np.inf)
+            for at in range(step):
+                best = np.maximum(best, net.bias + sum(net.embedding[piece[at + j]] @ net.taps[j] for j in range(4)))
+            z = np.maximum(best, 0) @ net.dense + net.offset
+            fresh = step if w < n - 1 else max(1, len(data) - w * step)
+            total, weight = total + fresh * (z - np.log(np.exp(z).sum())), weight + fresh
+        p = np.exp(total / weight)
+        return p / p.sum()
+
+    got = {r.doc_id: r for r in L.identify(docs, net).collect()}
+    for doc_id, text, _ in rows[:40]:
+        p = plain(text)
+        assert abs(got[doc_id].score - p.max()) < 1e-4 and (got[doc_id].lang_pred == net.labels[int(p.argmax())] or p.max() < 0.5001)

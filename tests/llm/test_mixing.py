@@ -1,6 +1,9 @@
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from voxlake.llm import mixing as M
 
@@ -57,3 +60,52 @@ def test_absent_labels_and_empty_table(spark):
     assert all(r.p_en == 1 and r.rate == 1 for r in M.op2_mixing(one, labelled(one)).collect())
     assert M.op2_mixing(df.limit(0), labelled(df)).count() == 0
     assert M.mixed(df.limit(0), labelled(df)).count() == 0
+
+
+def test_results_of_the_query_against_plain_bayes_and_copies(spark):
+    """Posteriors by counting words in Python; rates from these; copies from rates; every row there, empty texts too."""
+    rng = random.Random(31)
+    words = {"en": "the and of house".split(), "de": "der und von haus".split(), "fr": "le et de maison".split(), "es": "el y de casa".split()}
+    rows = []
+    for k in range(160):
+        lang = rng.choice(["en"] * 5 + ["de", "fr", "es"])
+        rows.append((k, " ".join(rng.choice(words[lang] + ["zz"]) for _ in range(rng.randrange(1, 30))), lang if k % 2 else None))
+    rows += [(500, None, None), (501, "", None), (3, rows[3][1], "en"), (None, "der haus", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = M.op2_mixing(docs, docs.where("lang IS NOT NULL").selectExpr("doc_id", "lang AS domain")).collect()
+    domains = sorted(M.TARGETS)
+    learned = {}
+    for i, t, lang in rows:
+        if lang and i is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            learned[i] = (t or "", lang)
+    counts = {d: Counter() for d in domains}
+    for t, lang in learned.values():
+        counts[lang].update(t.split())
+    known = set().union(*counts.values())
+    size = Counter(lang for _, lang in learned.values())
+
+    def posterior(text):
+        logs = []
+        for d in domains:
+            total = sum(counts[d].values()) + len(known) + 1
+            logs.append(np.log(size[d] / len(learned)) + sum(np.log((counts[d][w] + 1) / total) for w in (text or "").split() if w in known))
+        e = np.exp(np.array(logs) - max(logs))
+        return e / e.sum()
+
+    key = lambda r: (str(r[0]), r[1])
+    want = sorted(((i, len((t or "").split()), posterior(t)) for i, t, _ in rows), key=key)
+    got = sorted(got, key=key)
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(i, n) for i, n, _ in want]
+    for r, (_, _, p) in zip(got, want):
+        assert np.allclose([r[f"p_{d}"] for d in domains], p, atol=1e-9)
+        assert r.copies in (int(r.rate), int(r.rate) + 1)
+    mass = np.array([r.n_tokens * r.rate * p for r, (_, _, p) in zip(got, want)]).sum(0)
+    off = np.abs(mass / mass.sum() - [M.TARGETS[d] for d in domains]).max()
+    assert off < 0.01 and all(r.fit_error <= M.TOLERANCE for r in got)
+
+
+def test_a_target_out_of_reach_is_reported(spark):
+    members = spark.createDataFrame([(1, 10, 0.5, 0.5, 1)], "key long, n_tokens long, p0 double, p1 double, copies_in long")
+    with pytest.warns(UserWarning):
+        _, told = M.fit_rates(members, [0.9, 0.1])
+    assert told["error"] > M.TOLERANCE

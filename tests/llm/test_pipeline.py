@@ -54,3 +54,40 @@ def test_run_has_the_rows_of_the_stages(spark, folder):
     path, _, _ = folder
     got = corpus_pipeline.run(spark, path)
     assert got.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and got.count() > 150
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _key string, _hash long, _copies int, _copy int, _score double, row string, digest string, copies int"
+
+
+def odd_rows():
+    words = lambda k: " ".join(f"zq{k * 977 + j}" for j in range(40)) + "."
+    rows = [(5, words(1)), (5, words(2)), (None, words(3)), (None, words(4)), (7, words(5)), (7, words(5)), (None, words(3)), (8, None), (9, ""), (None, "")]
+    return [(i, t, "en", "s", 0, f"k{k}", k, k, k, float(k), "r", "d", 3) for k, (i, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_null_and_repeated_ids_and_clashing_columns(spark, folder, k):
+    path, _, _ = folder
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    out = corpus_pipeline.STAGES[k][1](spark, docs, path)
+    assert k == 4 or out.columns == docs.columns
+    got = out.collect()
+    texts = [r[1] for r in odd_rows()]
+    if k == 1:
+        # one row of each group: five texts of their own, and one of the texts without words
+        assert len(got) == 6 and {r.text for r in got if r.text} == {t for t in texts if t}
+        assert all((r._key, r._hash) in {(f"k{i}", i) for i in range(10)} for r in got)
+    if k == 2:
+        assert sorted(str(r.text) for r in got) == sorted(map(str, texts))
+    if k == 3:
+        assert {str(r.text) for r in got} == set(map(str, texts)) and len(got) >= len(texts)
+        assert {r._copies for r in got} == set(range(10))
+    if k == 4:
+        assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in got) == sorted((str(r[0]), LIBRARY.encode(r[1] or "", add_special_tokens=False).ids) for r in odd_rows())
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_empty_table_in_every_stage(spark, folder, k):
+    path, _, _ = folder
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.STAGES[k][1](spark, docs, path).count() == 0

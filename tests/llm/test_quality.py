@@ -59,3 +59,32 @@ def test_no_labels_and_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [(r.score, r.predicted) for r in Q.op4_quality(docs, none).collect()] == [(0.5, 1)]
     assert Q.op4_quality(docs.limit(0), none).count() == 0
+
+
+def test_results_of_the_query_against_all_labellings(spark):
+    """Scores from the sum over every labelling of the lines, one document at a time."""
+    rows = [(i, "\n".join(t.split("\n")[:6]), q) for i, t, q in corpus(120)] + [(900, None, 0), (901, "", 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    field = Q.learn(docs, labels)
+    got = {r.doc_id: r for r in Q.op4_quality(docs, labels).collect()}
+    for i, text, _ in rows[:25] + rows[-2:]:
+        x, size = Q.line_features(text)
+        emit, n = x @ field.weights, len(x)
+        good, whole = np.zeros(n), 0.0
+        for states in itertools.product((0, 1), repeat=n):
+            weight = np.exp(sum(emit[k, s] for k, s in enumerate(states)) + sum(field.steps[a, b] for a, b in zip(states, states[1:])))
+            whole += weight
+            good += weight * np.array(states)
+        share = (good / whole * size).sum() / size.sum()
+        want = 1 / (1 + np.exp(-field.slope * (share - field.middle)))
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == int(want >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_a_repeated_id_and_clashing_columns(spark):
+    rows = [(i, t, "a", 1.0) for i, t, _ in corpus(60)] + [(0, f"again {k}", "b", 2.0) for k in range(300)] + [(None, "no id", "c", 3.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out string, _score double")
+    labels = spark.createDataFrame([(i, q) for i, _, q in corpus(60)], "doc_id long, quality int")
+    assert Q.op4_quality(docs, labels).count() == len(rows)
+    kept = Q.accepted(docs, labels)
+    assert kept.columns == docs.columns and {r._score for r in kept.collect()} <= {1.0, 2.0, 3.0}

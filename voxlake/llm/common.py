@@ -31,15 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where it is set; a temporary folder otherwise (local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """``spark.checkpoint.dir`` where it is set; a temporary folder otherwise, which only a local master may use."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not held:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
+    if not (context.master or "").startswith("local") or (context.master or "").startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+#: Paths of the tables that this process wrote with ``stash``, until ``drop_stashes``.
+_WRITTEN: list[str] = []
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -47,9 +51,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def drop_stashes(spark: SparkSession) -> int:
+    """Delete the written tables, once no result that reads them is needed any more; how many there were."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def tidy(df: DataFrame) -> None:
     """Let go of the shuffle files of finished steps.
 
@@ -66,6 +80,28 @@ def pieces(batch, rows: int = 512):
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
+def row_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+
+
+def text_digest() -> Column:
+    """Two independent 64-bit hashes of the text, as one value that joins and groups."""
+    return F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+
+
+def sampled(rows: DataFrame, order: str, most: int, most_bytes: int) -> DataFrame:
+    """Of rows with a hash ``order`` and a ``text`` those with the least hash: ``most`` rows at most, and at most
+    ``most_bytes`` of text in all (the first row in any case). Only hashes and lengths reach the driver for this."""
+    thin = rows.groupBy(order).agg(F.max(F.octet_length("text")).alias("n")).orderBy(order).limit(most).collect()
+    bound, total = None, 0
+    for row in thin:
+        total += row["n"] or 0
+        if bound is not None and total > most_bytes:
+            break
+        bound = row[order]
+    return rows.where(F.lit(False) if bound is None else F.col(order) <= bound)
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 3; rows of fold 1 are held out of all learning."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3

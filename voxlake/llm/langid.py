@@ -1,10 +1,10 @@
 """Language identification by a byte convolutional network.
 
-Training (numpy, on the driver): a bounded sample of labelled rows, ``SAMPLE``
-documents at most, those with the least hash of doc_id, and of each a slice of
-``SLICE`` characters at most, from which ``TRAIN_WINDOWS`` random windows of ``LENGTH``
-bytes at most are learned; rows of fold 1 are never seen. Bytes are embedded, convolved by filters of widths two, three
-and four, max-pooled over a window of ``LENGTH`` bytes, and classified by
+Training (numpy, on the driver): a bounded sample of labelled rows, those with
+the least hash of doc_id: ``SAMPLE`` documents and ``SAMPLE_BYTES`` of text at
+most, each text whole, in windows of ``LENGTH`` bytes; rows of fold 1 or without
+a doc_id are never seen, and of rows that share a doc_id the least is learned.
+Bytes are embedded, convolved by filters of widths two, three and four, max-pooled over a window of ``LENGTH`` bytes, and classified by
 softmax; Adam on the cross-entropy.
 
 Application: every text is cut into windows of ``LENGTH`` bytes that cover all
@@ -30,14 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, held_out, ship
+from .common import fold_of, held_out, sampled, ship
 
 ship(__name__)
 
 LENGTH = 256
 SAMPLE = 1600
-SLICE = 8192
-TRAIN_WINDOWS = 4
+SAMPLE_BYTES = 4 << 20
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
@@ -83,9 +82,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
     x, y = [], []
     for text, label in zip(texts, labels):
         found = windows((text or "").encode("utf-8", "replace"))[0]
-        pick = rng.permutation(len(found))[:TRAIN_WINDOWS]
-        x.append(found[pick])
-        y += [names.index(label)] * len(pick)
+        x.append(found)
+        y += [names.index(label)] * len(found)
     x, y = np.concatenate(x), np.array(y)
     f, k = FILTERS * len(WIDTHS), len(names)
     mask = tap_mask()
@@ -172,18 +170,13 @@ def _predictor(shared):
     return predict
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.coalesce(fold_of(F.col("doc_id")) != 1, F.lit(True)))
+def learn(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.coalesce(fold_of(F.col("doc_id")) != 1, F.lit(False)))
     rows = rows.select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("h"))
-    # the bound is found among hashes alone; only the texts below it travel
-    bound = rows.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
-    if bound is None:
-        return None
-    # a long text lends one slice, at a place that its hash chooses
-    begin = F.pmod("h", F.greatest(F.char_length("text") - SLICE, F.lit(0)) + 1).cast("int") + 1
-    got = rows.where(F.col("h") <= bound).select("h", "lang", F.substring(F.col("text"), begin, F.lit(SLICE)).alias("text")).collect()
-    got = sorted(got, key=lambda r: (r["h"], r["lang"], r["text"]))[:sample]
-    return train([r["text"] for r in got], [r["lang"] for r in got])
+    # one row for each sampled document leaves the executors, however often its id repeats
+    got = sampled(rows, "h", sample, sample_bytes).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("r")).collect()
+    got = sorted(got, key=lambda r: r["h"])
+    return train([r["r"]["text"] for r in got], [r["r"]["lang"] for r in got]) if got else None
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:

@@ -12,13 +12,15 @@ document's step depends on its posterior only. A round is one aggregation over
 the documents that returns one number for each domain; rates stay on the
 executors as an expression over the posteriors, cut by a written table every
 ``CUT`` rounds. Rounds end when every domain is within ``TOLERANCE`` of its
-target, ``ROUNDS`` at most. Steps are accelerated (each starts ahead of the last
+target; a fit that ``ROUNDS`` rounds leave further off is reported (a warning, and
+``fit_error`` of every row: the largest distance from a target, as a share of the
+budget). Steps are accelerated (each starts ahead of the last
 rate, on the line through the last two) and restart when a residual rises.
 
-The classifier learns from a bounded sample, ``SAMPLE`` labelled documents at
-most (least hash of doc_id), and keeps its ``VOCABULARY`` most frequent words of at
-most ``WORD_BYTES`` bytes, which bounds the broadcast table. All other
-numbers come from all documents.
+The classifier learns from a bounded sample, ``SAMPLE`` labelled documents and
+``SAMPLE_BYTES`` of text at most (least hash of doc_id, whole texts), and knows
+every word of it; so its table, which is broadcast, has fewer words than the
+sample has bytes. All other numbers come from all documents.
 
 By default the token budget is the least one that asks no domain for less than
 it has: a document is repeated rather than dropped. Copies are the rate rounded
@@ -36,15 +38,15 @@ the operator and kept by ``mixed``.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, stash
+from .common import fold_of, row_key, sampled, stash
 
 SAMPLE = 4000
-VOCABULARY = 4096
-WORD_BYTES = 64
+SAMPLE_BYTES = 8 << 20
 TOLERANCE = 1e-3
 ROUNDS = 60
 CUT = 8
@@ -58,15 +60,15 @@ def _words(text: Column) -> Column:
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[DataFrame, list[float]] | None:
     """Word table ``(word, l0, l1, ...)`` of log-likelihoods, and log-priors (-inf for an absent domain)."""
     known = labelled.where(F.col("domain").isin(*domains) & F.coalesce(fold_of(F.col("doc_id")) != 1, F.lit(False))).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    picked = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit("sample")), "doc_id").limit(sample)
+    picked = known.withColumn("h", F.xxhash64(F.col("doc_id"), F.lit("sample"))).orderBy("h", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    per = stash(rows.select("domain", F.explode(_words(F.col("text"))).alias("word")).groupBy("word", "domain").agg(F.count("*").alias("n")), "word-counts")
+    rows = sampled(rows, "h", sample, SAMPLE_BYTES).groupBy("h", "doc_id", "domain").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = stash(rows, "labelled")
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    counts = [F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"c{k}") for k, d in enumerate(domains)]
-    top = per.where(F.octet_length("word") <= WORD_BYTES).groupBy("word").agg(F.sum("n").alias("n"), *counts).orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    top = stash(top.drop("n"), "vocabulary")
+    counts = [F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(domains)]
+    top = stash(rows.select("domain", F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(*counts), "vocabulary")
     totals = top.agg(F.count("*").alias("v"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(domains))]).first()
     logs = [F.log((F.col(f"c{k}") + 1) / F.lit(float((totals[f"c{k}"] or 0) + totals["v"] + 1))).alias(f"l{k}") for k in range(len(domains))]
     priors = [math.log(sizes[d] / sum(sizes.values())) if d in sizes else -math.inf for d in domains]
@@ -93,10 +95,6 @@ def memberships(docs: DataFrame, model: tuple[DataFrame, list[float]] | None, do
     return scores.select("key", "text_hash", "copies_in", "n_tokens", *[(F.col(f"e{k}") / whole if k in live else F.lit(0.0)).alias(f"p{k}") for k in range(n)])
 
 
-def row_key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-
-
 def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, tolerance: float = TOLERANCE, floor: float = 0.0) -> tuple[DataFrame, dict]:
     """``members`` with column ``rate``, and what the fit reached: rounds, tokens and targets of each domain."""
     k = range(len(weights))
@@ -110,7 +108,7 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
     have = totals(rates)
     reach = [w if h > 0 else 0.0 for w, h in zip(weights, have)]
     if not sum(reach):
-        return rates, {"rounds": 0, "targets": [0.0 for _ in k], "reached": have}
+        return rates, {"rounds": 0, "targets": [0.0 for _ in k], "reached": have, "error": 0.0}
     reach = [w / sum(reach) for w in reach]
     budget = budget if budget is not None else max(h / w for h, w in zip(have, reach) if w > 0)
     goal, now, before, rounds, worst, speed = [budget * w for w in reach], have, have, 0, math.inf, 1.0
@@ -131,7 +129,10 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
         if rounds % CUT == 0:
             rates = stash(rates, "rates")
         before, now = now, totals(rates)
-    return rates.drop("last"), {"rounds": rounds, "targets": goal, "reached": now}
+    off = max(abs(a - b) for a, b in zip(now, goal)) / budget
+    if off > tolerance:
+        warnings.warn(f"after {rounds} rounds a domain is off its target by {off:.3g} of the budget", stacklevel=2)
+    return rates.drop("last"), {"rounds": rounds, "targets": goal, "reached": now, "error": off}
 
 
 def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, floor: float = 0.0) -> tuple[DataFrame, list[str], dict]:
@@ -146,17 +147,17 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budge
 
 
 def op2_mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
-    """One row for each document: its tokens, posteriors ``p_<domain>``, rate and whole copies."""
-    out, domains, _ = rated(docs, labelled, targets or TARGETS, budget)
+    """One row for each document: its tokens, posteriors ``p_<domain>``, rate and whole copies, and how far the fit is off."""
+    out, domains, told = rated(docs, labelled, targets or TARGETS, budget)
     keyed = docs.select("doc_id", row_key().alias("key"), F.xxhash64("text").alias("text_hash"))
     named = [F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)]
-    return keyed.join(out, ["key", "text_hash"]).select("doc_id", "n_tokens", *named, "rate", "copies")
+    return keyed.join(out, ["key", "text_hash"]).select("doc_id", "n_tokens", *named, "rate", "copies", F.lit(float(told["error"])).alias("fit_error"))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, floor: float = 0.0) -> DataFrame:
     """``docs`` with each row as often as its copies say; with a floor of 1 no row goes."""
     out, _, _ = rated(docs, labelled, targets or TARGETS, budget, floor)
-    keyed = docs.withColumn("_key", row_key()).withColumn("_hash", F.xxhash64("text"))
-    often = out.where("copies > 0").select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies"))
-    joined = keyed.join(often, ["_key", "_hash"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("key"), F.xxhash64("text").alias("text_hash"))
+    often = out.where("copies > 0").select("key", "text_hash", "copies")
+    joined = keyed.join(often, ["key", "text_hash"])
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -5,9 +5,10 @@ repetition) and of its two neighbours; the field labels it good or bad. The mean
 of the forward-backward marginals of "good", weighted by line length, and a
 logistic calibration of that mean give the document's score.
 
-Training (numpy, on the driver): a bounded sample of labelled rows, ``SAMPLE``
-documents at most, those with the least hash of doc_id, and of each a slice of
-``SLICE`` characters at most; fold 1 is never seen. Labels are of documents:
+Training (numpy, on the driver): a bounded sample of labelled rows, those with
+the least hash of doc_id: ``SAMPLE`` documents and ``SAMPLE_BYTES`` of text at
+most, each text whole; fold 1 is never seen. Of rows that share a doc_id the
+least text is learned. Labels are of documents:
 all lines of a good one are good; lines of a bad one start as bad, and after
 each of ``ROUNDS`` rounds those that the field holds for good become good, save
 the one it likes least.
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, held_out, ship
+from .common import fold_of, held_out, sampled, ship
 
 ship(__name__)
 
 SAMPLE = 4000
-SLICE = 16384
+SAMPLE_BYTES = 32 << 20
 ROUNDS = 3
 STEPS = 80
 
@@ -212,27 +213,27 @@ def _scorer(shared):
     return scores
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | None:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Field | None:
     told = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = told.where(F.coalesce(fold_of(F.col("doc_id")) != 1, F.lit(False))).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit("sample"))).orderBy("h", "doc_id").limit(sample)
-    begin = F.pmod("h", F.greatest(F.char_length("text") - SLICE, F.lit(0)) + 1).cast("int") + 1
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select(F.substring(F.col("text"), begin, F.lit(SLICE)).alias("text"), "quality", "h").collect()
-    rows = sorted(rows, key=lambda r: (r["h"], r["text"]))[: 2 * sample]
+    told = told.where(F.coalesce(fold_of(F.col("doc_id")) != 1, F.lit(False))).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit("sample")))
+    picked = told.orderBy("h", "doc_id").limit(sample)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    # one row for each sampled document leaves the executors, however often its id repeats
+    rows = sampled(rows, "h", sample, sample_bytes).groupBy("h", "doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: (r["h"], r["doc_id"]))
     return train([r["text"] for r in rows], [int(r["quality"] > 0) for r in rows]) if rows else None
 
 
-def scored(docs: DataFrame, field: Field | None) -> DataFrame:
-    """``docs`` with a column ``_score``."""
-    if field is None:
-        return docs.withColumn("_score", F.lit(0.5))
-    return docs.withColumn("_score", _scorer(docs.sparkSession.sparkContext.broadcast(field))(F.col("text")))
+def score_of(docs: DataFrame, field: Field | None):
+    """The score of column ``text``."""
+    return F.lit(0.5) if field is None else _scorer(docs.sparkSession.sparkContext.broadcast(field))(F.col("text"))
 
 
 def op4_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    out = scored(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), learn(docs, labels))
-    return out.select("doc_id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_of(docs, learn(docs, labels)).alias("score"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    return scored(docs, learn(docs, labels)).where("_score >= 0.5").drop("_score")
+    return docs.where(score_of(docs, learn(docs, labels)) >= 0.5)

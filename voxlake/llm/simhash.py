@@ -28,8 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, ship, stash
-from .mixing import row_key
+from .common import components, row_key, ship, stash, text_digest
 
 ship(__name__)
 
@@ -128,12 +127,12 @@ def op1_simhash_near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Keep one row of every group: of its rows with the least doc_id (null last) one with the least hash of its text.
+    """Keep one row of every group: of its rows with the least doc_id (null last) one with the least digest of its text.
 
-    Rows are known by doc_id and a 64-bit hash of the text, so null and repeated ids keep a row in each of their groups."""
-    keyed = docs.withColumn("_key", row_key()).withColumn("_hash", F.xxhash64("text"))
-    prints = stash(keyed.select("doc_id", "_key", "_hash", _fingerprints(F.col("text")).alias("fp")), "fingerprints")
-    roots = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_hash"))
-    keep = roots.groupBy("root").agg(F.min("first").alias("first")).select("first._key", "first._hash")
+    Rows are known by doc_id and a 128-bit digest of the text, so null and repeated ids keep a row in each of their groups."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("key"), text_digest().alias("digest"))
+    prints = stash(rows.select("row.doc_id", "key", "digest", _fingerprints(F.col("row.text")).alias("fp")), "fingerprints")
+    roots = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "digest"))
+    keep = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.key", "first.digest")
     # copies go before texts travel, so a large group of them does not meet in one task
-    return keyed.dropDuplicates(["_key", "_hash"]).join(keep, ["_key", "_hash"], "left_semi").select(*docs.columns)
+    return rows.dropDuplicates(["key", "digest"]).join(keep, ["key", "digest"], "left_semi").select("row.*")
