@@ -36,7 +36,8 @@ def near(a, b):
 
 def check(spark, rows, ranges):
     got = W.op5_document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string, fingerprint string"), ranges).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    spread = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) % 2**31
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), spread(r[1]), r[1] or ""))
     want = []
     for i, (doc_id, text, _) in enumerate(order):
         text, after = text or "", order[(i + 1) % len(order)][1] or ""
@@ -58,6 +59,28 @@ def test_against_brute_force(spark):
     check(spark, rows[:2] + [(None, "no id here at all", "")], 5)
 
 
+def test_hot_ids_and_many_ranges(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(9)))
+    rows = [(rng.choice([None, 7, 7, -3, rng.randrange(1000)]), text(), "") for _ in range(1500)]
+    check(spark, rows, 40)
+    check(spark, rows, 10_000)
+    edges, parts, first = W.plan_ranges([1, 5, 5, 5, 9], 50, 100, 6)
+    assert edges == [1, 4, 5, 9] and parts == [1, 1, 3, 1, 1, 3] and first == [6, 5, 2, 1, 0, 7]
+
+
+def test_one_id_for_every_row(spark):
+    docs = spark.range(100_000).selectExpr("CAST(5 AS BIGINT) AS doc_id", "concat('t', id) AS text")
+    out = W.with_successor(docs, {"next": "text"}, 64)
+    assert out.select("text", "next").distinct().count() == 100_000 == out.select("next").distinct().count()
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k % 977}" for k in range(300_000))
+    got = {r.doc_id: r for r in W.op5_document_fingerprints(spark.createDataFrame([(1, long), (2, "short text")], "doc_id long, text string"), 4).collect()}
+    assert got[1].n_chars == len(long) and got[1].fingerprint.startswith(" ".join(f"{h:x}@{p}" for h, p in plain(long[:3000])[:20]))
+
+
 def test_empty_table(spark):
     assert W.op5_document_fingerprints(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0
 

@@ -16,6 +16,8 @@ The successor of a document in descending doc_id is found without a global
 sort: ids are cut into ranges at approximate quantiles, every range is ordered
 on its own, and the first row of each range is also sent to the range before
 it (the first of all to the last), so each row finds its successor in its range.
+An id that fills several ranges, or the null id, is cut by a hash of the text.
+The ranges are a constant array, searched in two steps of its square root.
 
 Defined results: a null text counts as empty; an empty text (or one of white
 space only) has the empty fingerprint; two empty fingerprints have likeness 1,
@@ -26,6 +28,9 @@ successor; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,33 +83,61 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.col("_either") == 0, F.lit(1.0)).otherwise(F.col("_both") / F.col("_either"))).select(*cols, out)
 
 
+def _numbers(values: list[int]) -> Column:
+    """A constant array column; as one string literal, which the optimizer folds."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _below(edges: list[int], x: Column) -> Column:
+    """How many of the sorted edges are less than ``x``."""
+    step = max(1, math.isqrt(len(edges)))
+    coarse = F.size(F.filter(_numbers(edges[step - 1 :: step]), lambda e: e < x)) if len(edges) >= step and edges else F.lit(0)
+    return coarse * step + F.size(F.filter(F.slice(_numbers(edges or [0]), coarse * step + 1, F.lit(step)), lambda e: e < x)) if edges else F.lit(0)
+
+
+def plan_ranges(cuts: list[int], nulls: int, rows: int, ranges: int) -> tuple[list[int], list[int], list[int]]:
+    """Of quantiles of the ids: sorted edges, and of each span (ids up to an edge, those above the last, null ids)
+    its parts and the number of its first part; parts count up in descending order of ids, null ids last."""
+    often = Counter(cuts)
+    # an id that is several quantiles at once has a span of its own
+    edges = sorted({e for b, n in often.items() for e in ((b - 1, b) if n > 1 else (b,))})
+    parts = [often[e] if often.get(e, 0) > 1 else 1 for e in edges] + [1]
+    last = max(1, round(ranges * nulls / max(rows, 1)))
+    first, at = [0] * len(parts), 0
+    for k in range(len(parts) - 1, -1, -1):
+        first[k], at = at, at + parts[k]
+    return edges, [*parts, last], [*first, at]
+
+
 def with_successor(docs: DataFrame, columns: dict[str, str], ranges: int) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, ...) with ``columns`` of the next row in descending doc_id."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("c"), F.max("doc_id").alias("top"), F.count("*").alias("n")).first()
-    bounds = sorted(set(cuts["c"] or []))
-    # range r holds ids up to its bound; null ids are a range of their own below all others
-    at = F.lit(len(bounds))
-    for r in range(len(bounds) - 1, -1, -1):
-        at = F.when(F.col("doc_id") <= bounds[r], r).otherwise(at)
-    at = F.when(F.col("doc_id").isNull(), -1).otherwise(at)
-    docs = docs.withColumn("_range", at)
-    heads = docs.groupBy("_range").agg(F.max("doc_id").alias("h")).orderBy(F.desc("_range")).collect()
+    told = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(10_000, 100 * ranges)).alias("c"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count("*").alias("n")).first()
+    edges, parts, first = plan_ranges(list(told["c"] or []), told["nulls"], told["n"], ranges)
+    docs = docs.withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1 << 31))).withColumn("_g", F.xxhash64(F.lit(1), "text"))
+    docs = docs.withColumn("_span", F.when(F.col("doc_id").isNull(), len(edges) + 1).otherwise(_below(edges, F.col("doc_id"))))
+    inside = F.shiftright(F.col("_h") * F.element_at(_numbers(parts), F.col("_span") + 1), 31)
+    docs = docs.withColumn("_part", (F.element_at(_numbers(first), F.col("_span") + 1) + inside).cast("int"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), "_h", "_g")
+    heads = sorted((r["_part"], r["head"]) for r in docs.groupBy("_part").agg(F.min(order).alias("head")).collect())
     if not heads:
-        return docs.withColumns({k: F.lit(None).cast(docs.schema[c].dataType) for k, c in columns.items()}).drop("_range")
-    names = [h["_range"] for h in heads]
-    before = {h: names[i - 1] for i, h in enumerate(names)}
-    seen_at = F.lit(None).cast("int")
-    for h in heads:
-        seen_at = F.when((F.col("_range") == h["_range"]) & F.col("doc_id").eqNullSafe(h["h"]), before[h["_range"]]).otherwise(seen_at)
-    places = F.array_compact(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest")), F.when(seen_at.isNotNull(), F.struct(seen_at.alias("r"), F.lit(1).alias("guest")))))
+        return docs.withColumns({k: F.lit(None).cast(docs.schema[c].dataType) for k, c in columns.items()}).drop("_h", "_g", "_span", "_part")
+    # by number of the part: the head's hashes and id, and the part before it; parts without rows are -1
+    size = heads[-1][0] + 1
+    before, ids, h, g = [-1] * size, [0] * size, [-1] * size, [0] * size
+    for k, (part, head) in enumerate(heads):
+        before[part], ids[part], h[part], g[part] = heads[k - 1][0], -(head["down"] or 0), head["_h"], head["_g"]
+    of = lambda values: F.element_at(_numbers(values), F.col("_part") + 1)
+    leads = (F.col("_h") == of(h)) & (F.col("_g") == of(g)) & (F.coalesce("doc_id", F.lit(0)) == of(ids))
+    places = F.array_compact(F.array(F.struct(F.col("_part").alias("r"), F.lit(0).alias("guest")), F.when(leads, F.struct(of(before).cast("int").alias("r"), F.lit(1).alias("guest")))))
     dealt = docs.withColumn("_place", F.explode(places))
-    w = Window.partitionBy("_place.r").orderBy("_place.guest", F.desc_nulls_last("doc_id"), "text")
-    return dealt.withColumns({k: F.lead(c).over(w) for k, c in columns.items()}).where("_place.guest = 0").drop("_place", "_range")
+    w = Window.partitionBy("_place.r").orderBy("_place.guest", F.desc_nulls_last("doc_id"), "_h", "_g", "text")
+    return dealt.withColumns({k: F.lead(c).over(w) for k, c in columns.items()}).where("_place.guest = 0").drop("_place", "_h", "_g", "_span", "_part")
 
 
 def op5_document_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = with_fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "chosen")
+    # several ranges for each task, so that tasks come out even
+    ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), "text", "chosen")
     df = with_successor(own, {"next_text": "text", "next_chosen": "chosen"}, max(2, ranges))
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
