@@ -1,8 +1,8 @@
 """Consistent-hash ring with virtual nodes and bounded loads, in DataFrame functions only.
 
 Every shard owns ``VNODES`` points of a ring of 2^32 positions. A row stands at
-the hash of its doc_id and is taken by the owner of the next point clockwise; a
-shard takes no more rows than its bound, and rows that find it full go on
+the hash of its doc_id, crc32 and size and is taken by the owner of the next
+point clockwise; a shard takes no more rows than its bound, and rows that find it full go on
 clockwise to the next point of a shard with room. Law ``rows``: the bounds are
 the floor or ceiling of rows over shards and add up to all rows, so shard sizes
 differ by at most one.
@@ -17,10 +17,10 @@ own small cell, and a look at the runs of that cell.
 Every copy of a text is a key of its own: bounded loads would have to split a
 large group of copies in any case. ``text_crc32`` shows the groups.
 
-Defined results: a null text has size 8 and the crc32 of no bytes, 0; a null
-doc_id has a fixed position; rows with equal doc_id are ordered by crc32 and
-size; fewer rows than shards leave some shards empty; an empty table gives no
-rows; extra columns are ignored.
+Defined results: a null text has size 8 and the crc32 of no bytes, 0; rows
+with a null or repeated doc_id stand apart by their texts, and only rows equal in
+id and text share a position; fewer rows than shards leave some shards empty; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,8 +97,8 @@ def op9_sharding(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(RING)).alias("_at"),
-    )
+        F.lit(0).alias("_at"),
+    ).withColumn("_at", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(RING)))
     # a cell's number: the cells before the row's 1/4096 of the ring, and those that begin in it up to the row
     slices = [bisect.bisect_left(starts, k * width) for k in range(4097)]
     groups = ["|".join(str(s) for s in starts[slices[k] : slices[k + 1]]) for k in range(4096)]
