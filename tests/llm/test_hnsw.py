@@ -57,3 +57,20 @@ def test_recall_of_a_graph_and_a_dense_group():
     found = graph.within(x, H.COSINE, beam)
     assert sum(len(t & set(f)) for t, f in zip(truth, found)) >= 0.98 * sum(map(len, truth))
     assert all(set(f) <= t for t, f in zip(truth, found))
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(None, [1.0, 0.0], ""), (5, [1.0, 0.01], ""), (5, [0.0, 1.0], ""), (None, [-1.0, 0.0], ""), (7, [1.0, 0.02], "")]
+    got = H.op7_embedding_near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    key = lambda t: tuple(map(str, t))
+    assert sorted(map(tuple, got), key=key) == sorted([(None, 2, 5, False), (5, 2, 5, True), (5, 0, 5, True), (None, 0, None, True), (7, 2, 5, False)], key=key)
+
+
+def test_audit_judges_where_nothing_is_near():
+    x = H._unit(np.random.default_rng(9).normal(size=(3000, 24))).astype(np.float32)
+    graph = H.Graph(x)
+    own = x[np.linspace(0, len(x) - 1, 64).astype(int)]
+    beam = H.audited_beam(graph, own, H.COSINE, 64)
+    ids, _ = graph.search(own, beam)
+    near = [set(np.argsort(-s, kind="stable")[:8]) for s in own @ x.T]
+    assert sum(len(t & set(i)) for t, i in zip(near, ids)) >= 0.99 * 8 * 64

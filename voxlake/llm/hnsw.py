@@ -191,9 +191,24 @@ class Graph:
         return out
 
 
-def audited_beam(graph: Graph, q: np.ndarray, least: float, beam: int = BEAM) -> int:
-    """The beam, doubled until the sample's links are found with recall AUDIT_RECALL."""
+def audited_beam(graph: Graph, q: np.ndarray, least: float, own: int = 0, beam: int = BEAM) -> int:
+    """The beam, doubled until the sample's links are found with recall AUDIT_RECALL.
+
+    The first ``own`` queries are nodes of the graph; that one finds itself says nothing, so it does not count. Where
+    fewer than AUDIT links are left to judge by, so are the AUDIT nearest nodes of each query, linked or not."""
     truth = [set(np.nonzero(s >= least)[0]) for s in q @ graph.x.T]
+    alike = graph.x @ graph.x[np.linspace(0, len(graph.x) - 1, own).astype(int)].T if own else None
+    for k in range(own):
+        truth[k] -= set(np.nonzero(alike[:, k] >= 1 - 1e-6)[0])
+    if sum(map(len, truth)) < AUDIT:
+        near = min(AUDIT // 8, len(graph.x))
+        truth = [set(np.argsort(-s, kind="stable")[:near]) for s in q @ graph.x.T]
+        while beam < len(graph.x):
+            ids, _ = graph.search(q, beam)
+            if sum(len(t & set(i)) for t, i in zip(truth, ids)) >= AUDIT_RECALL * sum(map(len, truth)):
+                break
+            beam *= 2
+        return beam
     while beam < len(graph.x):
         found = sum(len(t & set(f)) for t, f in zip(truth, graph.within(q, least, beam)))
         if found >= AUDIT_RECALL * sum(map(len, truth)):
@@ -229,7 +244,7 @@ def _answers(frames):
         units = _unit(q).astype(np.float32)
         if beam is None:
             own = g.x[np.linspace(0, len(x) - 1, min(AUDIT, len(x))).astype(int)]
-            beam = graph[3] = audited_beam(g, np.vstack([own, units[:AUDIT]]), COSINE - _SLACK)
+            beam = graph[3] = audited_beam(g, np.vstack([own, units[:AUDIT]]), COSINE - _SLACK, len(own))
         found = g.within(units, COSINE - _SLACK, beam)
         sizes = np.array([len(f) for f in found])
         asked.clear()
@@ -249,6 +264,8 @@ def _answers(frames):
                 nodes.append((i, v))
                 continue
             if graph is None:
+                if not nodes:  # a shard that no node fell to
+                    continue
                 graph = build()
                 nodes.clear()
             asked.append((i, v))
@@ -258,16 +275,24 @@ def _answers(frames):
         yield ask()
 
 
+def context_cores(df: DataFrame) -> int:
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def links(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Pairs ``(u, v)`` of nodes ``(node, vector)`` with cosine of at least COSINE."""
     n = nodes.count()
     shards = max(MIN_SHARDS, -(-n // shard_rows))
-    own = nodes.withColumn("shard", F.struct(F.size("vector").alias("d"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("k")))
-    asks = nodes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.struct(F.size("vector").alias("d"), "k")).drop("k")
-    asks = asks.join(own.select("shard").distinct(), "shard", "left_semi")
-    both = own.select("shard", F.lit(0).alias("kind"), "node", "vector").unionByName(asks.select("shard", F.lit(1).alias("kind"), "node", "vector"))
-    both = both.withColumn("shard", F.concat_ws("/", "shard.d", "shard.k"))
-    dealt = both.repartition(3 * shards, "shard").sortWithinPartitions("shard", "kind", "node")
+    # a task holds a shard and answers one part of the queries: its number is the partition's, so tasks come out even
+    parts = max(1, context_cores(nodes) // shards)
+    sizes = sorted(r["d"] for r in nodes.select(F.size("vector").alias("d")).distinct().collect())
+    place = F.array_position(F.array(*map(F.lit, sizes or [0])), F.size("vector")).cast("int") - 1
+    keyed = nodes.withColumn("own", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).withColumn("lot", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(parts)).cast("int")).withColumn("d", place)
+    number = (F.col("d") * shards + F.col("k")) * parts + F.col("q")
+    every = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
+    own = keyed.withColumn("k", F.col("own")).withColumn("q", F.explode(every(parts))).select(number.alias("shard"), F.lit(0).alias("kind"), "node", "vector")
+    asks = keyed.withColumn("k", F.explode(every(shards))).withColumn("q", F.col("lot")).select(number.alias("shard"), F.lit(1).alias("kind"), "node", "vector")
+    dealt = own.unionByName(asks).repartitionById(max(1, len(sizes)) * shards * parts, "shard").sortWithinPartitions("shard", "kind", "node")
     return dealt.mapInPandas(_answers, "u long, v long").distinct()
 
 
