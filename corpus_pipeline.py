@@ -29,8 +29,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that repeat over 400 bytes are cut out; n_chars follows the text."""
-    return suffix_dedup.without_repeats(docs)
+    """Passages of some 50 words (``PASSAGE`` bytes) that repeat are cut out; n_chars follows the text."""
+    return suffix_dedup.without_repeats(docs, suffix_dedup.PASSAGE)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

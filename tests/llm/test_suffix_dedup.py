@@ -9,15 +9,15 @@ from voxlake.llm import suffix_dedup as S
 SCHEMA = "doc_id long, text string, tid string, kept string"
 
 
-def plain(texts):
+def plain(texts, n=S.LENGTH):
     data = [(t or "").encode() for t in texts]
-    seen = Counter(b[i : i + S.LENGTH] for b in data for i in range(len(b) - S.LENGTH + 1))
+    seen = Counter(b[i : i + n] for b in data for i in range(len(b) - n + 1))
     out = []
     for b in data:
         gone = bytearray(len(b))
-        for i in range(len(b) - S.LENGTH + 1):
-            if seen[b[i : i + S.LENGTH]] > 1:
-                gone[i : i + S.LENGTH] = b"\1" * S.LENGTH
+        for i in range(len(b) - n + 1):
+            if seen[b[i : i + n]] > 1:
+                gone[i : i + n] = b"\1" * n
         runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out.append((len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
     return out
@@ -56,6 +56,32 @@ def test_against_brute_force(spark, seed, crowd, monkeypatch):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def test_passages_and_hot_keys_against_brute_force(spark, monkeypatch):
+    """Strings of the pipeline's length; one passage in most texts, so that its keys are known beforehand."""
+    monkeypatch.setattr(S, "HOT", 2)
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"{rng.choice('the ñandú of house'.split())}{rng.randrange(10**4)}" for _ in range(n))
+    common, other = words(50), words(45)
+    texts = corpus(3) + [words(rng.randrange(60)) + " " + common + " " + words(rng.randrange(60)) for _ in range(150)] + [words(9) + other + words(9)] * 1 + [other[1:-1]]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
+    assert S.frequent_keys(docs.select(S.text_id(0).alias("tid"), "text"), S.PASSAGE)
+    want = plain(texts, S.PASSAGE)
+    kept = {r.doc_id: r.text for r in S.without_repeats(docs, S.PASSAGE).collect()}
+    lost = {r.row.doc_id: sum(b - a for a, b in r.spans) for r in S.with_removal(docs, S.PASSAGE).collect()}
+    assert [lost[i] for i in range(len(texts))] == [w[1] for w in want]
+    assert all(kept[i] == t for i, t in enumerate(texts) if not lost[i])
+    got = S.op3_suffix_array_dedup(docs).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == [(i, *p) for i, p in enumerate(plain(texts))]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120_000))
+    docs = spark.createDataFrame([(1, long, "", ""), (2, "head " + long[5000:6000], "", ""), (3, long[-700:], "", "")], SCHEMA)
+    got = {r.doc_id: r.n_removed for r in S.op3_suffix_array_dedup(docs).collect()}
+    assert got[2] in (1000, 1001) and got[3] == 700 and 1700 <= got[1] <= 1702
+
+
 def test_anchors_are_a_cover_and_depend_on_content_only():
     rng = random.Random(5)
     data = bytes(rng.randrange(97, 101) for _ in range(3000)) + b"ab" * 300 + bytes(rng.randrange(256) for _ in range(900))
