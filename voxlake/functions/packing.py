@@ -22,7 +22,7 @@ def _shift(name: str, value: Column, by: Column) -> Column:
 
 
 def _div(a: Column, b: Column) -> Column:
-    return F.floor(a / b).cast("int")
+    return ((a - a % b) / b).cast("int")
 
 
 def bound(value: Column, use) -> Column:
@@ -55,6 +55,24 @@ def unpack_array(words: Column, bits: Column, count: int = CELLS) -> Column:
     return F.when((bits <= 0) | (F.size(words) == 0), zeros).otherwise(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), entry))
 
 
+def explode_cells(df: DataFrame, palette: str, data: str, count: int = CELLS) -> DataFrame:
+    """``df`` with a row for each cell: ``li``, its place, and ``pi``, its index into the palette.
+
+    Words are exploded, then their entries, by whole numbers and shifts: nothing is computed in a lambda. A palette of one
+    name is one word that holds all cells; words that are missing hold entry 0."""
+    bits = bits_per_entry(F.size(palette))
+    cols = df.columns
+    df = df.withColumn("_bits", bits).withColumn("_per", F.when(F.col("_bits") == 0, count).otherwise(per_word(F.col("_bits"))))
+    wanted = F.ceil(F.lit(count) / F.col("_per")).cast("int")
+    short = F.greatest(wanted - F.size(data), F.lit(0))
+    words = F.when(F.col("_bits") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.concat(F.slice(F.col(data), F.lit(1), wanted), F.array_repeat(F.lit(0).cast("bigint"), short)))
+    rows = df.select(*cols, "_bits", "_per", F.posexplode(words).alias("_w", "_word"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_per") - 1)).alias("_j"))
+    mask = _shift("shiftleft", F.lit(1).cast("bigint"), F.col("_bits")) - 1
+    entry = _shift("shiftright", F.col("_word"), F.col("_j") * F.col("_bits")).bitwiseAND(mask)
+    return rows.select(*cols, (F.col("_w") * F.col("_per") + F.col("_j")).alias("li"), entry.cast("int").alias("pi")).where(F.col("li") < count)
+
+
 def repack_array(words: Column, old_n: Column, new_n: Column, count: int = CELLS) -> Column:
     """The same entries at the width of another palette size."""
     old, new = bits_per_entry(old_n), bits_per_entry(new_n)

@@ -29,25 +29,28 @@ def varint_size(n: Column) -> Column:
 
 
 def varint_hex(n: Column) -> Column:
-    """The varint's bytes, as lower-case hex."""
+    """The varint's bytes, as lower-case hex: ten groups of seven bits in two numbers, cut to the size."""
     u, size = zigzag(n), varint_size(n)
+    octets = [F.shiftrightunsigned(u, 7 * k).bitwiseAND(127).bitwiseOR(F.when(size > k + 1, F.lit(128)).otherwise(F.lit(0)).cast("bigint")) for k in range(10)]
 
-    def octet(i: Column) -> Column:
-        low = F.call_function("shiftrightunsigned", u, (i * 7).cast("int")).bitwiseAND(127)
-        return F.lower(F.lpad(F.hex(low + F.when(i < size - 1, F.lit(128)).otherwise(F.lit(0))), 2, "0"))
+    def together(part: list[Column]) -> Column:
+        out = part[0]
+        for o in part[1:]:
+            out = F.shiftleft(out, 8).bitwiseOR(o)
+        return F.lpad(F.hex(out), 2 * len(part), "0")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), size - 1), octet), "")
+    return F.lower(F.substring(F.concat(together(octets[:7]), together(octets[7:])), F.lit(1), 2 * size))
 
 
 def varint_value(hexed: Column) -> Column:
-    """The integer of a varint given as hex."""
-    n = F.floor(F.length(hexed) / 2).cast("int")
-
-    def octet(i: Column) -> Column:
-        return F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
-
-    groups = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftleft", octet(i).bitwiseAND(127), (i * 7).cast("int")))
-    return unzigzag(F.aggregate(groups, F.lit(0).cast("bigint"), lambda a, g: a.bitwiseOR(g)))
+    """The integer of a varint given as hex: two numbers of seven and three bytes, taken apart by shifts."""
+    whole = F.rpad(hexed, 20, "0")
+    parts = [(F.conv(F.substring(whole, 1, 14), 16, 10).cast("bigint"), 7), (F.conv(F.substring(whole, 15, 6), 16, 10).cast("bigint"), 3)]
+    groups = [F.shiftright(v, 8 * (n - 1 - k)).bitwiseAND(127) for v, n in parts for k in range(n)]
+    out = groups[0]
+    for k, g in enumerate(groups[1:], 1):
+        out = out.bitwiseOR(F.shiftleft(g, 7 * k))
+    return unzigzag(out)
 
 
 def be_int(hexed: Column, bits: int = 32) -> Column:

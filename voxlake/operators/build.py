@@ -130,8 +130,36 @@ def import_volume(
     return assemble(block_cells, biome_cells, grid, max_section - min_section, quarts)
 
 
+def accepted_block_entity(name: Column, tag: Column) -> Column:
+    """Whether a block entity converts: it needs a name and a tag."""
+    return name.isNotNull() & tag.isNotNull()
+
+
 def import_block_entities(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Block entities ``(dimension, x, y, z, name, tag)`` that have a tag and a name and whose chunk exists."""
-    good = found.where("tag IS NOT NULL AND name IS NOT NULL").withColumns({"cx": C.chunk_of(F.col("x")), "cz": C.chunk_of(F.col("z")), "packed_xz": C.pack_xz(F.col("x"), F.col("z"))})
+    """Block entities ``(dimension, x, y, z, name, tag)`` that convert and whose chunk exists."""
+    good = found.where(accepted_block_entity(F.col("name"), F.col("tag"))).withColumns({"cx": C.chunk_of(F.col("x")), "cz": C.chunk_of(F.col("z")), "packed_xz": C.pack_xz(F.col("x"), F.col("z"))})
     there = chunks.select("dimension", F.col("x").alias("cx"), F.col("z").alias("cz"))
     return good.join(there, ["dimension", "cx", "cz"], "left_semi")
+
+
+def with_block_entities(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """``chunks`` with the imported block entities in their lists, as tagged data with id and place."""
+    from . import columns as K
+
+    good = import_block_entities(found, chunks)
+    tags = F.create_map(F.lit("tag"), F.col("tag").cast("string"))
+    data = K.block_entity_data(F.col("name"), F.col("x"), F.col("y"), F.col("z"), tags)
+    return K.to_chunks(chunks, block_entities=good.select("dimension", "x", "y", "z", data.alias("data")))
+
+
+def import_schematic(cells: DataFrame, sequence: Sequence[str], version: str, block_entities: DataFrame | None = None, **options) -> DataFrame:
+    """The chunks of a volume and of its block entities; a volume without a version has none."""
+    chunks = import_volume(cells.where(F.lit(bool(version))), sequence, **options)
+    return chunks if block_entities is None else with_block_entities(chunks, block_entities)
+
+
+def progress_marks(spark, total: int, step: int = 5) -> DataFrame:
+    """``(percent, processed)``: after how many cells each multiple of ``step`` percent is reached first."""
+    marks = spark.range(0, 101, step).select(F.col("id").alias("percent"))
+    first = F.greatest(F.lit(1), F.ceil(F.col("percent") * total / 100)).cast("bigint")
+    return marks.withColumn("processed", first).where((F.lit(total) > 0) & (F.floor(F.col("processed") * 100 / F.lit(max(total, 1))) == F.col("percent")))

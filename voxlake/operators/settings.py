@@ -62,3 +62,28 @@ def nbt_scalars(data: Column, order: str = "little") -> Column:
         return pd.Series([nbt.plain(nbt.decode(bytes(x or b""), order)) for x in col])
 
     return scalars(data)
+
+
+#: Names of the enumerations, by number.
+GAME_MODES = ("survival", "creative", "adventure", "spectator")
+DIFFICULTIES = ("peaceful", "easy", "normal", "hard")
+
+
+def enum_name(number: Column, names: tuple[str, ...]) -> Column:
+    """The name of a number; null where it has none."""
+    return F.try_element_at(F.array(*map(F.lit, names)), F.when(number.between(0, len(names) - 1), number.cast("int") + 1).otherwise(F.lit(len(names) + 1)))
+
+
+def enum_number(name: Column, names: tuple[str, ...]) -> Column:
+    """The number of a name; 0 where it is unknown."""
+    return F.greatest(F.array_position(F.array(*map(F.lit, names)), name) - 1, F.lit(0)).cast("int")
+
+
+def to_internal(settings: DataFrame) -> DataFrame:
+    """Settings with enumerations as numbers."""
+    return settings.withColumns({"defaultGameMode": enum_number(F.col("defaultGameMode"), GAME_MODES), "difficulty": enum_number(F.col("difficulty"), DIFFICULTIES)})
+
+
+def from_internal(settings: DataFrame) -> DataFrame:
+    """Settings with enumerations as names."""
+    return settings.withColumns({"defaultGameMode": enum_name(F.col("defaultGameMode"), GAME_MODES), "difficulty": enum_name(F.col("difficulty"), DIFFICULTIES)})

@@ -37,19 +37,27 @@ def blocks(chunks: DataFrame, min_section: int = -4, only: str | None = None, kn
     if known is not None:
         s = s.withColumn("block_palette", F.transform("block_palette", lambda b: F.when(F.array_contains(known, b), b).otherwise(F.lit(C.AIR))))
         s = s.where(~F.forall("block_palette", lambda b: b == C.AIR))
-    cells = unpacked(s, "block_palette", "block_data", "ix").select("dimension", "x", "z", "section_index", "block_palette", F.posexplode("ix").alias("li", "pi"))
+    cells = P.explode_cells(s.select("dimension", "x", "z", "section_index", "block_palette", "block_data"), "block_palette", "block_data")
     named = cells.withColumn("block", P.entry_or_first(F.col("block_palette"), F.col("pi"))).where((F.col("block") != C.AIR) & (F.lit(True) if only is None else F.col("block") == only))
     return _placed(named, "block", min_section)
 
 
 def biomes(chunks: DataFrame, min_section: int = -4) -> DataFrame:
     """``(dimension, x, y, z, biome)`` of all cells of sections that are there."""
-    s = unpacked(sections(chunks), "biome_palette", "biome_data", "ix")
-    cells = s.select("dimension", "x", "z", "section_index", "biome_palette", F.posexplode("ix").alias("li", "pi"))
+    s = sections(chunks).select("dimension", "x", "z", "section_index", "biome_palette", "biome_data")
+    cells = P.explode_cells(s, "biome_palette", "biome_data")
     named = cells.withColumn("biome", F.coalesce(P.entry_or_first(F.col("biome_palette"), F.col("pi")), F.lit(C.PLAINS)))
     return _placed(named, "biome", min_section)
 
 
+def biome_counts(chunks: DataFrame) -> DataFrame:
+    """``(dimension, x, z, section_index, biome, cells)``: indices are counted before they get names."""
+    s = sections(chunks).select("dimension", "x", "z", "section_index", "biome_palette", "biome_data")
+    counted = P.explode_cells(s, "biome_palette", "biome_data").groupBy("dimension", "x", "z", "section_index", "pi").agg(F.count("*").alias("n"), F.first("biome_palette").alias("biome_palette"))
+    named = counted.withColumn("biome", F.coalesce(P.entry_or_first(F.col("biome_palette"), F.col("pi")), F.lit(C.PLAINS)))
+    return named.groupBy("dimension", "x", "z", "section_index", "biome").agg(F.sum("n").alias("cells"))
+
+
 def _placed(cells: DataFrame, value: str, min_section: int) -> DataFrame:
     lx, ly, lz = C.from_linear(F.col("li"))
     return cells.select("dimension", C.absolute(F.col("x"), lx).alias("x"), C.absolute(F.col("section_index") + min_section, ly).alias("y"), C.absolute(F.col("z"), lz).alias("z"), value)

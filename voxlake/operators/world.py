@@ -101,18 +101,21 @@ class Store:
     compression: str = "default"
     streaming: bool = False
     spawns: DataFrame | None = None
+    touched: bool = False
 
     @staticmethod
     def open(spark: SparkSession, path: str, compression: str = "default", read_only: bool = False, streaming: bool = False) -> Store:
         """Missing files are skipped; a freshly read world has no changes."""
         try:
             chunks = worldfile.read_worlds(spark, path)
-            heads = worldfile.read_world_headers(spark, path).agg(F.min("min_section").alias("a"), F.max("max_section").alias("b")).first()
+            # one row for each dimension's file
+            found = worldfile.read_world_headers(spark, path)
+            heads = found.agg(F.min("min_section").alias("a"), F.max("max_section").alias("b"), F.max_by("user_data", F.when(F.octet_length("user_data") == 0, 0).when(F.col("dimension") == "overworld", 2).otherwise(1)).alias("u")).first()
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             heads = None
-        world = World(chunks, heads["a"], heads["b"]) if heads and heads["a"] is not None else World.create(spark)
+        world = World(chunks, heads["a"], heads["b"], bytes(heads["u"] or b"")) if heads and heads["a"] is not None else World.create(spark)
         return Store(spark, path, replace(world, read_only=read_only), compression=compression, streaming=streaming)
 
     def load_column(self, dimension: str, x: int, z: int) -> DataFrame:
@@ -122,6 +125,25 @@ class Store:
     def store_columns(self, new: DataFrame) -> Store:
         return replace(self, world=self.world.set_chunks(new))
 
+    def user_data(self) -> bytes:
+        return self.world.user_data
+
+    def set_user_data(self, data: bytes) -> Store:
+        """Bytes for the header of the world's files; a change that ``close`` writes."""
+        return replace(self, world=self.world.set_user_data(data), touched=self.touched or not self.world.read_only)
+
+    def set_level(self, compression: str) -> Store:
+        return replace(self, compression=compression)
+
+    def set_streaming(self, streaming: bool) -> Store:
+        return replace(self, streaming=streaming)
+
+    def save_plan(self) -> DataFrame:
+        """``(dimension, chunks, changed)``: what a save would write."""
+        keys = ["dimension", "x", "z"]
+        marked = self.world.chunks.select(*keys).distinct().join(self.world.dirty().select(*keys).distinct().withColumn("hit", F.lit(1)), keys, "left")
+        return marked.groupBy("dimension").agg(F.count("*").alias("chunks"), F.count("hit").alias("changed"))
+
     def save_settings(self, **changes) -> Store:
         return replace(self, settings=self.settings | changes)
 
@@ -137,12 +159,12 @@ class Store:
     def save(self) -> Store:
         """Write all dimensions; a read-only store writes nothing."""
         if not self.world.read_only:
-            worldfile.write_worlds(self.world.chunks, self.path, compression=self.compression, streaming=self.streaming, min_section=self.world.min_section, max_section=self.world.max_section)
-        return replace(self, world=self.world.clear_dirty())
+            worldfile.write_worlds(self.world.chunks, self.path, compression=self.compression, streaming=self.streaming, min_section=self.world.min_section, max_section=self.world.max_section, user_data=self.world.user_data)
+        return replace(self, world=self.world.clear_dirty(), touched=False)
 
     def close(self) -> Store:
         """Save if there are changes."""
-        return self.save() if self.world.is_dirty() else self
+        return self.save() if self.touched or self.world.is_dirty() else self
 
 
 def route(dimension: Column) -> Column:

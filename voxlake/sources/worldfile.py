@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import glob
+import itertools
+import json
 import os
 import sys
 import uuid
@@ -97,8 +100,36 @@ class WorldWriter(DataSourceWriter):
         self.path = options["path"]
         self.low, self.high = int(options.get("min_section", -4)), int(options.get("max_section", 20))
         self.level, self.streaming = options.get("compression", "default"), options.get("streaming", "false") == "true"
+        self.user_data = base64.b64decode(options.get("user_data", ""))
+        self.counts = json.loads(options.get("counts", "{}"))
+
+    def _streamed(self, rows):
+        """Rows sorted by dimension, each once; the counts are known, so a chunk is written as it comes."""
+        files: dict[str, tuple] = {}
+        os.makedirs(self.path, exist_ok=True)
+        for dimension, group in itertools.groupby(rows, lambda r: r["dimension"]):
+            target = os.path.join(self.path, file_of(dimension))
+            draft = f"{target}.{uuid.uuid4().hex}.tmp"
+            if dimension in files:
+                raise ValueError("rows must come sorted by dimension; use write_worlds")
+            files[dimension] = (draft, target)
+            seen = 0
+
+            def chunks(group=group):
+                nonlocal seen
+                for r in group:
+                    seen += 1
+                    yield r.asDict(recursive=True)
+
+            with open(draft, "wb") as out:
+                codec.write_world(out, codec.Header(codec.VERSION, 0, 0, self.low, self.high, self.user_data, self.counts[dimension]), chunks(), self.level, True)
+            if seen != self.counts[dimension]:
+                raise ValueError(f"{seen} chunks of {dimension} where {self.counts[dimension]} were counted")
+        return Written(list(files.values()))
 
     def write(self, rows):
+        if self.streaming and self.counts:
+            return self._streamed(rows)
         files: dict[str, tuple] = {}
         os.makedirs(self.path, exist_ok=True)
         held: dict[str, list[dict]] = {}
@@ -109,7 +140,7 @@ class WorldWriter(DataSourceWriter):
             draft = f"{target}.{uuid.uuid4().hex}.tmp"
             chunks = _last_wins(iter(chunks))
             with open(draft, "wb") as out:
-                codec.write_world(out, codec.Header(codec.VERSION, 0, 0, self.low, self.high, b"", len(chunks)), chunks, self.level, self.streaming)
+                codec.write_world(out, codec.Header(codec.VERSION, 0, 0, self.low, self.high, self.user_data, len(chunks)), chunks, self.level, self.streaming)
             files[dimension] = (draft, target)
         return Written(list(files.values()))
 
@@ -172,7 +203,7 @@ def read_world_headers(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h, _ = codec.read_header(content.as_py())
+                h = codec.probe_header(content.as_py())
                 rows.append({"dimension": dimension_of(name), "version": h.version, "compression": h.compression, "declared_len": h.declared_len, "min_section": h.min_section, "max_section": h.max_section, "user_data": h.user_data, "chunk_count": h.chunk_count})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("dimension", pa.string()), ("version", pa.int16()), ("compression", pa.int16()), ("declared_len", pa.int64()), ("min_section", pa.int32()), ("max_section", pa.int32()), ("user_data", pa.binary()), ("chunk_count", pa.int64())]))
 
@@ -194,8 +225,15 @@ def _named(row: tuple) -> tuple:
     return tuple([None if i is None else dict(zip(keys[k], i)) for i in v] if k in keys else v for k, v in enumerate(row))
 
 
-def write_worlds(chunks: DataFrame, path: str, **options) -> None:
-    """Write each dimension to its file under ``path``; a dimension is one file, so one task writes it."""
+def write_worlds(chunks: DataFrame, path: str, user_data: bytes = b"", streaming: bool = False, **options) -> None:
+    """Write each dimension to its file under ``path``; a dimension is one file, so one task writes it.
+
+    Streaming writes a chunk at a time: chunks are counted first, as the count stands in front, and of chunks with equal
+    coordinates one is written."""
     register(chunks.sparkSession)
-    dealt = chunks.repartition(len(FILES) + 1, F.col("dimension"))
-    dealt.write.format("worldfile").options(path=path, **{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}).mode("append").save()
+    given = {"path": path, "user_data": base64.b64encode(user_data).decode(), "streaming": str(streaming).lower()} | {k: str(v) for k, v in options.items()}
+    if streaming:
+        chunks = chunks.dropDuplicates(["dimension", "x", "z"])
+        given["counts"] = json.dumps({r["dimension"]: r["n"] for r in chunks.groupBy("dimension").agg(F.count("*").alias("n")).collect()})
+    dealt = chunks.repartition(len(FILES) + 1, F.col("dimension")).sortWithinPartitions("dimension", "x", "z")
+    dealt.write.format("worldfile").options(**given).mode("append").save()
