@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .packing import bound
+
 #: Decode limits in bytes.
 MAX_STRING = 1 << 20
 MAX_BYTES = 1 << 24
@@ -21,36 +23,36 @@ def unzigzag(u: Column) -> Column:
 
 def varint_size(n: Column) -> Column:
     """Bytes of the zig-zag varint of ``n``: groups of seven bits."""
-    u = zigzag(n)
-    out = F.lit(10)
-    for k in range(9, 0, -1):
-        out = F.when((u >= 0) & (u < F.lit(1 << (7 * k))) if k < 9 else (u >= 0), F.lit(k)).otherwise(out)
-    return out.cast("int")
+    return ((F.length(F.bin(zigzag(n))) + 6) / 7).cast("int")
 
 
 def varint_hex(n: Column) -> Column:
     """The varint's bytes, as lower-case hex: ten groups of seven bits in two numbers, cut to the size."""
-    u, size = zigzag(n), varint_size(n)
-    octets = [F.shiftrightunsigned(u, 7 * k).bitwiseAND(127).bitwiseOR(F.when(size > k + 1, F.lit(128)).otherwise(F.lit(0)).cast("bigint")) for k in range(10)]
 
-    def together(part: list[Column]) -> Column:
-        out = part[0]
-        for o in part[1:]:
-            out = F.shiftleft(out, 8).bitwiseOR(o)
-        return F.lpad(F.hex(out), 2 * len(part), "0")
+    def together(v: Column, first: int, count: int) -> Column:
+        out = F.lit(0).cast("bigint")
+        for k in range(first, first + count):
+            more = F.when(v["size"] > k + 1, F.lit(128)).otherwise(F.lit(0)).cast("bigint")
+            out = F.shiftleft(out, 8).bitwiseOR(F.shiftrightunsigned(v["u"], 7 * k).bitwiseAND(127)).bitwiseOR(more)
+        return F.lpad(F.hex(out), 2 * count, "0")
 
-    return F.lower(F.substring(F.concat(together(octets[:7]), together(octets[7:])), F.lit(1), 2 * size))
+    given = F.struct(zigzag(n).alias("u"), varint_size(n).alias("size"))
+    return bound(given, lambda v: F.lower(F.substring(F.concat(together(v, 0, 7), together(v, 7, 3)), F.lit(1), 2 * v["size"])))
 
 
 def varint_value(hexed: Column) -> Column:
     """The integer of a varint given as hex: two numbers of seven and three bytes, taken apart by shifts."""
-    whole = F.rpad(hexed, 20, "0")
-    parts = [(F.conv(F.substring(whole, 1, 14), 16, 10).cast("bigint"), 7), (F.conv(F.substring(whole, 15, 6), 16, 10).cast("bigint"), 3)]
-    groups = [F.shiftright(v, 8 * (n - 1 - k)).bitwiseAND(127) for v, n in parts for k in range(n)]
-    out = groups[0]
-    for k, g in enumerate(groups[1:], 1):
-        out = out.bitwiseOR(F.shiftleft(g, 7 * k))
-    return unzigzag(out)
+    number = lambda part: F.conv(part, 16, 10).cast("bigint")
+    halves = bound(F.rpad(hexed, 20, "0"), lambda h: F.struct(number(F.substring(h, 1, 14)).alias("a"), number(F.substring(h, 15, 6)).alias("b")))
+
+    def joined(v: Column) -> Column:
+        groups = [F.shiftright(v[c], 8 * (n - 1 - k)).bitwiseAND(127) for c, n in (("a", 7), ("b", 3)) for k in range(n)]
+        out = groups[0]
+        for k, g in enumerate(groups[1:], 1):
+            out = out.bitwiseOR(F.shiftleft(g, 7 * k))
+        return out
+
+    return bound(bound(halves, joined), unzigzag)
 
 
 def be_int(hexed: Column, bits: int = 32) -> Column:

@@ -15,9 +15,11 @@ from ..functions import packing as P
 from ..functions import states as S
 from ..functions import varint as N
 from ..operators import build as B
+from ..operators import columns as K
 from ..operators import settings as ST
 from ..operators import views as X
 from ..operators import world as W
+from ..sources import codec, nbt
 from ..sources import worldfile as WF
 from ..streaming import upsert as U
 from . import virtual as V
@@ -117,7 +119,23 @@ def dirty_chunks(spark, d):
 
 @query(f"WITH {_CHANGED} SELECT count(*) > 0 AS dirty FROM changed")
 def dirty_flag(spark, d):
-    return _changed(spark, d).agg((F.count("*") > 0).alias("dirty"))
+    world = W.World(_chunk_table(spark, d).select("dimension", "x", "z"))
+    return spark.createDataFrame([(world.set_chunks(_changed(spark, d)).is_dirty(),)], "dirty boolean")
+
+
+@query("SELECT * FROM (VALUES ('fresh', false), ('changed', true), ('cleared', false), ('read-only', false)) t(state, dirty)")
+def dirty_cleared(spark, d):
+    world = W.World(_chunk_table(spark, d).select("dimension", "x", "z"))
+    changed = world.set_chunks(_changed(spark, d))
+    fixed = W.World(world.chunks, read_only=True).set_chunks(_changed(spark, d))
+    states = {"fresh": world, "changed": changed, "cleared": changed.clear_dirty(), "read-only": fixed}
+    return spark.createDataFrame([(k, w.is_dirty()) for k, w in states.items()], "state string, dirty boolean")
+
+
+@query("SELECT * FROM (VALUES (-4, 20, 'ok', CAST(0 AS BIGINT)), (-64, 64, 'ok', 0), (-32, 0, 'ok', 0), (0, 16, 'ok', 0), (-129, 0, 'min', 0), (0, 129, 'max', 0), (5, 5, 'order', 0)) t(low, high, problem, chunks)")
+def world_create(spark, d):
+    worlds = [W.World.create(spark, a, b) for a, b in ((-4, 20), (-64, 64), (-32, 0), (0, 16), (-129, 0), (0, 129), (5, 5))]
+    return spark.createDataFrame([(w.min_section, w.max_section, w.problem(), w.count()) for w in worlds], "low int, high int, problem string, chunks long")
 
 
 @query(f"WITH {PLACED} SELECT x, z, l_orderkey FROM placed QUALIFY {_LAST.format(k='x, z')}")
@@ -240,8 +258,8 @@ def pack_words(spark, d):
 
 @query(f"WITH {PALETTE} SELECT i.cx, i.cz, i.si, i.li, pal.pi FROM i JOIN pal USING (cx, cz, si, st)")
 def unpack_words(spark, d):
-    s = X.unpacked(X.sections(V.chunks(spark, d)), "block_palette", "block_data", "ix")
-    return s.select(F.col("x").alias("cx"), F.col("z").alias("cz"), F.col("section_index").alias("si"), F.posexplode("ix").alias("li", "pi")).where("pi > 0")
+    s = X.sections(V.chunks(spark, d)).select(F.col("x").alias("cx"), F.col("z").alias("cz"), F.col("section_index").alias("si"), "block_palette", "block_data")
+    return P.explode_cells(s, "block_palette", "block_data").where("pi > 0").select("cx", "cz", "si", "li", "pi")
 
 
 @query(f"""WITH {PALETTE}, r AS (SELECT cx, cz, si, CAST(length(ltrim(bin(n * 5 - 1), '0')) AS INT) AS bits FROM sz),
@@ -254,6 +272,16 @@ def repack_bits(spark, d):
     return s.select(F.col("x").alias("cx"), F.col("z").alias("cz"), F.col("section_index").alias("si"), F.posexplode("words").alias("w", "word")).where("word <> 0")
 
 
+@query("""SELECT p_partkey, CAST(w AS INT) AS w, CAST(sum(((p_partkey + w * 16 + j) % 3) << CAST(4 * j AS INT)) AS BIGINT) AS word
+FROM (SELECT p_partkey, unnest(range(4)) AS w FROM part), (SELECT unnest(range(15)) AS j) GROUP BY ALL""")
+def repack_biomes(spark, d):
+    """64 biome entries of a palette of three at the width of a palette of fifteen; the highest entry of a word is left out."""
+    p = table(spark, d, "part").select("p_partkey", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((F.col("p_partkey") + i) % 3).cast("int")).alias("ix"))
+    p = p.withColumn("old", P.pack_array(F.col("ix"), F.lit(2))).withColumn("new", P.repack_array(F.col("old"), F.lit(3), F.lit(15), 64))
+    words = p.select("p_partkey", F.posexplode("new").alias("w", "word"))
+    return words.select("p_partkey", "w", F.col("word").bitwiseAND((1 << 60) - 1).alias("word"))
+
+
 @query(f"WITH {ADDRESSED} SELECT x, y, z, st AS block FROM i")
 def blocks_explode(spark, d):
     return X.blocks(V.chunks(spark, d)).select("x", "y", "z", "block")
@@ -268,8 +296,16 @@ def blocks_of_one_state(spark, d):
 e AS (SELECT cx, cz, si, st, count(*) AS cells FROM i GROUP BY ALL UNION ALL SELECT cx, cz, si, first_st, 4096 - n FROM f)
 SELECT cx, cz, si, st AS biome, CAST(sum(cells) AS BIGINT) AS cells FROM e GROUP BY ALL""")
 def biomes_explode(spark, d):
-    b = X.biomes(V.chunks(spark, d))
-    return b.groupBy(C.chunk_of(F.col("x")).alias("cx"), C.chunk_of(F.col("z")).alias("cz"), C.section_index(F.col("y"), -4).alias("si"), "biome").agg(F.count("*").alias("cells"))
+    b = X.biome_counts(V.chunks(spark, d))
+    return b.select(F.col("x").alias("cx"), F.col("z").alias("cz"), F.col("section_index").alias("si"), "biome", "cells")
+
+
+@query(f"""WITH {ADDRESSED}, n AS (SELECT count(*) AS sections FROM (SELECT DISTINCT cx, cz, si FROM i)) SELECT sections * 4096 AS cells, sections AS sections FROM n""")
+def biome_cells(spark, d):
+    """Every cell of every section has a biome at a place of its own."""
+    b = X.biomes(V.chunks(spark, d)).withColumn("place", C.linear_index(F.col("x"), F.col("y"), F.col("z")))
+    per = b.groupBy(C.chunk_of(F.col("x")).alias("cx"), C.chunk_of(F.col("z")).alias("cz"), C.section_index(F.col("y"), -4).alias("si")).agg(F.count("*").alias("n"), F.bit_xor("place").alias("x"), F.max("place").alias("top"))
+    return per.where("x = 0 AND top = 4095").agg(F.sum("n").alias("cells"), F.count("*").alias("sections"))
 
 
 @query(f"WITH {PLACED} SELECT x >> 4 AS cx, z >> 4 AS cz, (y >> 4) + 4 AS si, ((y & 15) >> 2) * 16 + ((z & 15) >> 2) * 4 + ((x & 15) >> 2) AS li, st AS biome FROM placed WHERE (y >> 4) + 4 BETWEEN 0 AND 23 QUALIFY {_LAST.format(k='x >> 4, z >> 4, y >> 4, (y & 15) >> 2, (z & 15) >> 2, (x & 15) >> 2')}")
@@ -296,7 +332,7 @@ def block_entity_semi(spark, d):
 
 @query(f"WITH {BLOCK_ENTITY} SELECT tag IS NOT NULL AND name IS NOT NULL AS accepted, count(*) AS n FROM be GROUP BY 1")
 def block_entity_reject(spark, d):
-    good = F.col("tag").isNotNull() & F.col("name").isNotNull()
+    good = B.accepted_block_entity(F.col("name"), F.col("tag"))
     return V.block_entity_rows(spark, d).groupBy(good.alias("accepted")).agg(F.count("*").alias("n"))
 
 
@@ -446,12 +482,49 @@ def encoded_size(spark, d):
     return s.select(F.col("x").alias("cx"), F.col("z").alias("cz"), F.col("section_index").alias("si"), size.cast("bigint").alias("bytes"))
 
 
-@query("SELECT doc_id, level, level <> 'none' AND n > 1024 AND n // 3 < n AS buffered, level <> 'none' AS streamed FROM (SELECT doc_id, strlen(text) AS n FROM documents), (SELECT unnest(['none', 'fast', 'default', 'best']) AS level)")
+@query("SELECT doc_id, level, level <> 'none' AND n > 1024 AS buffered FROM (SELECT doc_id, strlen(text) AS n FROM documents), (SELECT unnest(['none', 'fast', 'default', 'best']) AS level)")
 def compression_decision(spark, d):
-    n = F.octet_length("text")
+    """What the codec stores of each text as a payload, at each level."""
+
+    @F.pandas_udf(T.BooleanType())
+    def packed(texts, levels):
+        import pandas as pd
+
+        return pd.Series([codec.stored_form((t or "").encode(), level)[0] == codec.ZSTD for t, level in zip(texts, levels)])
+
     level = F.explode(F.array(*map(F.lit, ("none", "fast", "default", "best")))).alias("level")
-    t = table(spark, d, "documents").select("doc_id", n.alias("n"), level)
-    return t.select("doc_id", "level", ((F.col("level") != "none") & (F.col("n") > 1024) & (F.floor(F.col("n") / 3) < F.col("n"))).alias("buffered"), (F.col("level") != "none").alias("streamed"))
+    t = table(spark, d, "documents").select("doc_id", "text", level)
+    return t.select("doc_id", "level", packed("text", "level").alias("buffered"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey % 256 AS INT) AS octet, CAST(p_size - 25 AS INT) AS whole, p_partkey * -7919 AS wide, p_name AS name, CAST(strlen(p_brand) AS INT) AS n_bytes, CAST(p_size AS DOUBLE) / 4 AS real, p_partkey - 1000 AS number, CAST(3 AS INT) AS longs, true AS ended FROM part")
+def wire_roundtrip(spark, d):
+    """Every scalar of the wire format written one after the other, and read again to the last byte."""
+    out = "p_partkey long, octet int, whole int, wide long, name string, n_bytes int, real double, number long, longs int, ended boolean"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                w = codec.Writer()
+                w.number("B", r["p_partkey"] % 256)
+                w.number("i", r["p_size"] - 25)
+                w.number("q", r["p_partkey"] * -7919)
+                w.string(r["p_name"])
+                w.bytes(r["p_brand"].encode())
+                w.number("f", r["p_size"] / 4)
+                w.varint(r["p_partkey"] - 1000)
+                w.varint(3)
+                for k in range(3):
+                    w.number("q", r["p_partkey"] << k)
+                q = codec.Reader(w.done())
+                got = {"p_partkey": r["p_partkey"], "octet": q.number("B"), "whole": q.number("i"), "wide": q.number("q"), "name": q.string(), "n_bytes": len(q.bytes()), "real": q.number("f"), "number": q.varint()}
+                rows.append(got | {"longs": sum(v == r["p_partkey"] << k for k, v in enumerate(q.longs("longs"))), "ended": q.left() == 0})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("p_partkey", pa.int64()), ("octet", pa.int32()), ("whole", pa.int32()), ("wide", pa.int64()), ("name", pa.string()), ("n_bytes", pa.int32()), ("real", pa.float64()), ("number", pa.int64()), ("longs", pa.int32()), ("ended", pa.bool_())]))
+
+    return table(spark, d, "part").select("p_partkey", "p_size", "p_name", "p_brand").mapInArrow(run, out)
 
 
 # --- dimensions, stores, settings
@@ -479,9 +552,10 @@ def _spread(spark, d):
 
 @query(f"WITH {_SPREAD} SELECT DISTINCT dimension, x, z FROM spread")
 def dimension_union(spark, d):
-    s = _spread(spark, d)
-    parts = [s.where(F.col("dimension") == n).drop("dimension").withColumn("dimension", F.lit(n)) for n in W.DIMENSIONS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("dimension", "x", "z")
+    """A directory with one file for each dimension, written and scanned."""
+    path = _folder(spark)
+    WF.write_worlds(K.to_chunks(_spread(spark, d)), path, compression="none", min_section=0, max_section=1)
+    return WF.read_worlds(spark, path).select("dimension", "x", "z")
 
 
 @query(f"WITH {_SPREAD}, c AS (SELECT dimension, count(*) AS n FROM (SELECT DISTINCT * FROM spread) GROUP BY 1), e AS (SELECT k AS dimension, coalesce(n, 0) AS chunks FROM (SELECT unnest(['overworld', 'nether', 'end']) AS k) LEFT JOIN c ON c.dimension = k) SELECT * FROM e UNION ALL SELECT 'all', CAST(sum(chunks) AS BIGINT) FROM e")
@@ -496,9 +570,8 @@ def world_info(spark, d):
 
 @query(f"WITH {_SPREAD}, {_CHANGED} SELECT s.dimension, count(*) AS chunks, CAST(sum(CASE WHEN c.x IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM (SELECT DISTINCT * FROM spread) s LEFT JOIN changed c ON s.x = c.x AND s.z = c.z AND s.dimension = 'overworld' GROUP BY 1")
 def save_plan(spark, d):
-    s = _spread(spark, d)
-    marked = s.join(_changed(spark, d).withColumn("hit", F.lit(1)), ["dimension", "x", "z"], "left")
-    return marked.groupBy("dimension").agg(F.count("*").alias("chunks"), F.sum(F.coalesce("hit", F.lit(0))).cast("bigint").alias("changed"))
+    world = W.World(_spread(spark, d), changed=_changed(spark, d))
+    return W.Store(spark, "", world).save_plan()
 
 
 @query("SELECT user_id, CAST(event_id % 64 AS INT) AS x, CAST(event_id % 128 AS INT) AS y, CAST(event_id % 32 AS INT) AS z FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -538,8 +611,10 @@ def settings_partial_decode(spark, d):
 
 @query("SELECT n_nationkey, CASE CAST(n_nationkey % 4 AS INT) WHEN 0 THEN 'survival' WHEN 1 THEN 'creative' WHEN 2 THEN 'adventure' ELSE 'spectator' END AS game_mode, CASE CAST(n_regionkey % 4 AS INT) WHEN 0 THEN 'peaceful' WHEN 1 THEN 'easy' WHEN 2 THEN 'normal' ELSE 'hard' END AS difficulty FROM nation")
 def settings_project(spark, d):
-    pick = lambda c, names: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % 4 + 1).cast("int"))
-    return table(spark, d, "nation").select("n_nationkey", pick("n_nationkey", ("survival", "creative", "adventure", "spectator")).alias("game_mode"), pick("n_regionkey", ("peaceful", "easy", "normal", "hard")).alias("difficulty"))
+    """Numbers to names, to numbers and to names again."""
+    n = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 4).alias("defaultGameMode"), (F.col("n_regionkey") % 4).alias("difficulty"))
+    back = ST.from_internal(ST.to_internal(ST.from_internal(n)))
+    return back.select("n_nationkey", F.col("defaultGameMode").alias("game_mode"), "difficulty")
 
 
 # --- documented analyses and whole pipelines
@@ -602,19 +677,17 @@ def change_times(spark, d):
 
 
 def _folder(spark) -> str:
-    """A new folder under the shared one that the session names, or a temporary one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under the shared one that the session names; a temporary one for a local master alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     base = shared.removeprefix("file://") if shared else tempfile.mkdtemp(prefix="worlds-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
 def _written(spark, d) -> str:
-    chunks = V.chunks(spark, d)
-    none = {"block_entities": 4, "entities": 5, "scheduled_ticks": 6}
-    kinds = T._parse_datatype_string(WF.CHUNKS)
-    full = chunks.withColumns({k: F.array().cast(kinds[i].dataType) for k, i in none.items()}).withColumn("user_data", F.lit(b""))
     path = _folder(spark)
-    WF.write_worlds(full.select(*kinds.names), path, compression="fast")
+    WF.write_worlds(K.to_chunks(V.chunks(spark, d)), path, compression="fast")
     return path
 
 
@@ -639,3 +712,175 @@ def settings_binary(spark, d):
     rows = n.select("n_nationkey", *[own.get(s, F.lit(W.DEFAULT_SETTINGS[s])).cast(kind).alias(s) for s, kind in W.SETTING_KINDS.items()])
     back = ST.with_settings_bytes(rows).select("n_nationkey", ST.decoded_settings(F.col("settings")).alias("s"))
     return back.select("n_nationkey", "s.name", "s.time", "s.raining", "s.difficulty")
+
+
+def _tagged(name, *pairs):
+    """Tagged data of rows: ``pairs`` are (tag, kind, column) and go through the codec in a worker."""
+    cols, kinds = [c for _, _, c in pairs], [(tag, kind) for tag, kind, _ in pairs]
+
+    @F.pandas_udf(T.BinaryType())
+    def encode(*series):
+        import pandas as pd
+
+        out = []
+        for row in zip(*series):
+            tags = {}
+            for (tag, kind), v in zip(kinds, row):
+                if v is not None and not (isinstance(v, float) and v != v):
+                    tags[tag] = ("list", ("float", [float(x) for x in v])) if kind == "vector" else (kind, int(v) if kind in ("int", "long") else float(v) if kind == "float" else v)
+            out.append(nbt.encode(tags))
+        return pd.Series(out)
+
+    return encode(*cols).alias(name)
+
+
+def _through_file(spark, chunks, **options):
+    path = _folder(spark)
+    WF.write_worlds(chunks, path, **options)
+    return WF.read_worlds(spark, path)
+
+
+@query(f"WITH {BLOCK_ENTITY} SELECT x, y, z, coalesce(name, 'minecraft:unknown') AS id, coalesce(tag, '-') AS tag, count(*) AS n FROM be GROUP BY ALL")
+def file_block_entities(spark, d):
+    """Block entities with tagged data into chunks, a world file, and back at absolute places."""
+    rows = V.block_entity_rows(spark, d)
+    rows = rows.select("dimension", "x", "y", "z", _tagged("data", ("id", "string", F.col("name")), ("tag", "string", F.col("tag"))))
+    grid = rows.select("dimension", C.chunk_of(F.col("x")).alias("x"), C.chunk_of(F.col("z")).alias("z")).distinct()
+    back = K.block_entity_records(_through_file(spark, K.to_chunks(grid, block_entities=rows), min_section=0, max_section=1))
+    told = back.select("x", "y", "z", "id", F.coalesce(F.col("tags")["tag"], F.lit("-")).alias("tag"))
+    return told.groupBy("x", "y", "z", "id", "tag").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ENTITY} SELECT event_id AS unique_id, CASE WHEN event_id % 5 = 0 THEN 'minecraft:unknown' ELSE id END AS identifier, bx >> 4 AS chunk_x, bz >> 4 AS chunk_z,
+CASE WHEN event_id % 4 = 0 THEN 0 ELSE bx END AS px, CASE WHEN event_id % 4 = 0 THEN 0 ELSE by_ END AS py, CAST(event_id % 90 AS INT) AS yaw, CASE WHEN event_id % 4 = 0 THEN 0 ELSE bz END AS mz FROM ent""")
+def file_entities(spark, d):
+    """Entities through tagged data, chunks and a world file; vectors of another length than three are zero."""
+    e = V.entities(spark, d)
+    whole = F.array(*[F.col(c).cast("float") for c in ("bx", "by_", "bz")])
+    given = F.when(F.col("event_id") % 4 == 0, F.slice(whole, 1, 2)).otherwise(whole)
+    data = _tagged("data", ("identifier", "string", F.when(F.col("event_id") % 5 != 0, F.col("id"))), ("Pos", "vector", given), ("Motion", "vector", given), ("Yaw", "float", (F.col("event_id") % 90).cast("float")))
+    rows = e.select(F.lit("overworld").alias("dimension"), C.chunk_of(F.col("bx")).alias("cx"), C.chunk_of(F.col("bz")).alias("cz"), F.col("event_id").alias("unique_id"), F.lit(None).cast("string").alias("uuid"), data)
+    grid = rows.select("dimension", F.col("cx").alias("x"), F.col("cz").alias("z")).distinct()
+    back = K.entity_records(_through_file(spark, K.to_chunks(grid, entities=rows), min_section=0, max_section=1))
+    i = lambda c, k: F.element_at(c, k).cast("int")
+    return back.select("unique_id", "identifier", "chunk_x", "chunk_z", i("position", 1).alias("px"), i("position", 2).alias("py"), i("rotation", 1).alias("yaw"), i("velocity", 3).alias("mz"))
+
+
+@query(f"WITH {_TICKS} SELECT x, y, z, CASE WHEN block = '' THEN 'minecraft:air' ELSE block END AS block, o_orderkey AS tick FROM tick")
+def file_ticks(spark, d):
+    """Scheduled ticks with block states into chunks, a world file, and back: names stay, properties go."""
+    k = F.col("o_orderkey")
+    state = F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("minecraft:"), F.lower("o_orderstatus"), F.when(k % 2 == 0, "[lit=true]").otherwise("")))
+    rows = table(spark, d, "orders").select(F.lit("overworld").alias("dimension"), (F.col("o_custkey") % 90 - 45).cast("int").alias("x"), (k % 320 - 64).cast("int").alias("y"), (k % 70 - 35).cast("int").alias("z"), state.alias("block"), k.alias("tick"))
+    grid = rows.select("dimension", C.chunk_of(F.col("x")).alias("x"), C.chunk_of(F.col("z")).alias("z")).distinct()
+    return X.scheduled_ticks(_through_file(spark, K.to_chunks(grid, ticks=rows), min_section=0, max_section=1)).select("x", "y", "z", "block", "tick")
+
+
+@query(f"""WITH {BLOCK_ENTITY}, {ADDRESSED}, {_TICKS}, k AS (SELECT DISTINCT cx, cz FROM i),
+c AS (SELECT i.cx, i.cz, count(*) AS blocks FROM i GROUP BY ALL), b AS (SELECT x >> 4 AS cx, z >> 4 AS cz, count(*) AS n FROM be GROUP BY ALL), t AS (SELECT x >> 4 AS cx, z >> 4 AS cz, count(*) AS n FROM tick GROUP BY ALL)
+SELECT k.cx AS x, k.cz AS z, blocks, coalesce(b.n, 0) AS block_entities, coalesce(t.n, 0) AS ticks, concat(k.cx, '/', k.cz) AS user_data FROM k JOIN c USING (cx, cz) LEFT JOIN b USING (cx, cz) LEFT JOIN t USING (cx, cz)""")
+def column_to_chunk(spark, d):
+    """Whole columns (cells, block entities, ticks, user data) stored, read, and counted by chunk."""
+    be = V.block_entity_rows(spark, d)
+    be = be.select("dimension", "x", "y", "z", _tagged("data", ("id", "string", F.col("name"))))
+    k = F.col("o_orderkey")
+    ticks = table(spark, d, "orders").select(F.lit("overworld").alias("dimension"), (F.col("o_custkey") % 90 - 45).cast("int").alias("x"), (k % 320 - 64).cast("int").alias("y"), (k % 70 - 35).cast("int").alias("z"), F.lit("minecraft:water").alias("block"), k.alias("tick"))
+    cells = V.chunks(spark, d).withColumn("user_data", F.concat_ws("/", "x", "z").cast("binary"))
+    back = _through_file(spark, K.to_chunks(cells, be, ticks=ticks), compression="fast", streaming=True)
+    keys = ["dimension", "x", "z"]
+    filled = X.blocks(back).groupBy("dimension", C.chunk_of(F.col("x")).alias("x"), C.chunk_of(F.col("z")).alias("z")).agg(F.count("*").alias("blocks"))
+    told = back.select(*keys, F.size("block_entities").cast("bigint").alias("block_entities"), F.size("scheduled_ticks").cast("bigint").alias("ticks"), F.col("user_data").cast("string").alias("user_data"))
+    return told.join(filled, keys).select("x", "z", "blocks", "block_entities", "ticks", "user_data")
+
+
+@query(f"WITH {BLOCK_ENTITY}, {ADDRESSED} SELECT x, y, z, name AS id, tag, CAST(x AS VARCHAR) AS tag_x, count(*) AS n FROM be WHERE tag IS NOT NULL AND name IS NOT NULL AND EXISTS (SELECT 1 FROM i WHERE i.cx = be.x >> 4 AND i.cz = be.z >> 4) GROUP BY ALL")
+def import_block_entities(spark, d):
+    """Block entities of an imported volume in the lists of its chunks, with their tags."""
+    chunks = V.addressed(spark, d).select("dimension", F.col("cx").alias("x"), F.col("cz").alias("z")).distinct()
+    back = K.block_entity_records(B.with_block_entities(chunks, V.block_entity_rows(spark, d)))
+    told = back.select("x", "y", "z", "id", F.col("tags")["tag"].alias("tag"), F.col("tags")["x"].alias("tag_x"))
+    return told.groupBy("x", "y", "z", "id", "tag", "tag_x").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ENTITY}, h AS (SELECT *, concat(lower(lpad(hex(CAST(bx AS BIGINT) & 4294967295), 8, '0')), lower(lpad(hex(CAST(by_ AS BIGINT) & 4294967295), 8, '0')), lower(lpad(hex(CAST(bz AS BIGINT) & 4294967295), 8, '0')), lower(lpad(hex(event_id & 4294967295), 8, '0'))) AS u FROM ent WHERE event_id % 6 <> 0)
+SELECT concat_ws('-', u[1:8], u[9:12], u[13:16], u[17:20], u[21:32]) AS uuid, id, bx >> 4 AS chunk_x, by_ AS py, CASE WHEN event_id % 3 = 0 THEN 0 ELSE bx END AS mx FROM h""")
+def entity_convert(spark, d):
+    """Entities of an imported volume as parts of chunks; those without an id are dropped."""
+    e = V.entities(spark, d)
+    k = F.col("event_id")
+    f = lambda *c: F.array(*[F.col(x).cast("float") for x in c])
+    rows = e.select(F.lit("overworld").alias("dimension"), F.when(k % 6 != 0, F.col("id")).alias("id"), F.col("bx").cast("double").alias("x"), F.col("by_").cast("double").alias("y"), F.col("bz").cast("double").alias("z"), F.when(k % 3 == 0, f("bx")).otherwise(f("bx", "by_", "bz")).alias("motion"), f("bx", "bz").alias("rotation"), F.array("bx", "by_", "bz", k.cast("int")).alias("uuid_ints"))
+    out = X.entities(K.converted_entities(rows))
+    i = lambda c, n: F.element_at(c, n).cast("int")
+    return out.select("uuid", "id", "chunk_x", i("position", 2).alias("py"), i("velocity", 1).alias("mx"))
+
+
+@query("SELECT '' AS version, CAST(0 AS BIGINT) AS chunks UNION ALL SELECT '1.20', count(*) FROM (SELECT DISTINCT (CAST(l_partkey % 64 AS INT) - 32) >> 4, (CAST(l_suppkey % 64 AS INT) - 32) >> 4 FROM lineitem)")
+def version_gate(spark, d):
+    """A volume without a version imports nothing."""
+    cells = V.placements(spark, d).withColumnRenamed("block", "name")
+    each = [B.import_schematic(cells, V.SEQUENCE, v).agg(F.count("*").alias("chunks")).select(F.lit(v).alias("version"), "chunks") for v in ("", "1.20")]
+    return each[0].unionByName(each[1])
+
+
+@query("SELECT percent, min(done) AS processed FROM (SELECT done, (done * 100) // 11220 AS percent FROM (SELECT unnest(range(1, 11221)) AS done)) WHERE percent % 5 = 0 GROUP BY percent")
+def progress_marks(spark, d):
+    return B.progress_marks(spark, 33 * 17 * 20)
+
+
+@query("SELECT 'set' AS state, string_agg(r_name, '/' ORDER BY r_regionkey) AS user_data, true AS dirty FROM region UNION ALL SELECT 'read', string_agg(r_name, '/' ORDER BY r_regionkey), false FROM region UNION ALL SELECT 'read-only', string_agg(r_name, '/' ORDER BY r_regionkey), false FROM region")
+def user_data_roundtrip(spark, d):
+    """User data set, saved with the world and read again; a read-only store keeps what it read."""
+    names = table(spark, d, "region").orderBy("r_regionkey").collect()
+    store = W.Store.open(spark, _folder(spark))
+    store = store.store_columns(K.to_chunks(_spread(spark, d).limit(20))).set_user_data("/".join(r["r_name"] for r in names).encode())
+    store.close()
+    read, fixed = W.Store.open(spark, store.path), W.Store.open(spark, store.path, read_only=True).set_user_data(b"other")
+    states = {"set": store, "read": read, "read-only": fixed}
+    return spark.createDataFrame([(k, v.user_data().decode(), v.touched or v.world.is_dirty()) for k, v in states.items()], "state string, user_data string, dirty boolean")
+
+
+@query(f"WITH {_SPREAD}, {_CHANGED}, s AS (SELECT DISTINCT * FROM spread) SELECT dimension, x, z, bool_or(new) AS changed FROM (SELECT *, false AS new FROM s UNION ALL SELECT 'overworld', x, z, true FROM changed) GROUP BY ALL")
+def store_lifecycle(spark, d):
+    """A store opened empty, filled, closed, opened, changed, closed and opened once more."""
+    path = _folder(spark)
+    marked = lambda df, flag: K.to_chunks(df.withColumn("user_data", F.lit(flag.encode())))
+    W.Store.open(spark, path).store_columns(marked(_spread(spark, d), "old")).set_level("best").close()
+    W.Store.open(spark, path).store_columns(marked(_changed(spark, d), "new")).set_streaming(True).close()
+    back = W.Store.open(spark, path, read_only=True)
+    return back.world.chunks.select("dimension", "x", "z", (F.col("user_data").cast("string") == "new").alias("changed"))
+
+
+@query(f"WITH {_CHANGED} SELECT x, z, x = 3 AND z = 3 AS found FROM (SELECT DISTINCT x, z FROM changed WHERE x = 3 AND z = 3) UNION ALL SELECT 99, 99, false")
+def load_column(spark, d):
+    """A stored column, and one that is missing: it gives no row."""
+    store = W.Store.open(spark, _folder(spark)).store_columns(K.to_chunks(_changed(spark, d))).save()
+    again = W.Store.open(spark, store.path)
+    hit = again.load_column("overworld", 3, 3).select("x", "z", F.lit(True).alias("found"))
+    missing = again.load_column("overworld", 99, 99).count() > 0
+    return hit.unionByName(spark.createDataFrame([(99, 99, missing)], "x int, z int, found boolean"))
+
+
+@query("SELECT level, streaming, CASE WHEN level = 'none' THEN 0 ELSE 1 END AS compression, streaming AS undeclared, n AS chunks FROM (SELECT unnest(['none', 'fast', 'default', 'best']) AS level), (SELECT unnest([false, true]) AS streaming), (SELECT count(*) AS n FROM (SELECT DISTINCT CAST(o_custkey % 90 - 45 AS INT), CAST(o_orderkey % 90 - 45 AS INT) FROM orders WHERE o_orderstatus = 'F'))")
+def write_levels(spark, d):
+    """Files written at every level, buffered and chunk by chunk: their code, declared length and chunks."""
+    chunks = K.to_chunks(_changed(spark, d)).cache()
+    out = []
+    for level in codec.LEVELS:
+        for streaming in (False, True):
+            path = _folder(spark)
+            WF.write_worlds(chunks, path, streaming=streaming, compression=level, min_section=0, max_section=2)
+            h = WF.read_world_headers(spark, path).first()
+            out.append((level, streaming, h["compression"], h["declared_len"] == 0, h["chunk_count"]))
+    chunks.unpersist()
+    return spark.createDataFrame(out, "level string, streaming boolean, compression int, undeclared boolean, chunks long")
+
+
+@query("SELECT 'overworld' AS dimension, CAST(user_id % 50 AS INT) AS x, 0 AS z, max(event_id) AS event_id FROM events GROUP BY ALL")
+def stream_upsert(spark, d):
+    """Changes taken as a stream, each trigger one keyed write; the last change of a chunk is there at the end."""
+    source, base = table(spark, d, "events").schema, _folder(spark)
+    events = spark.readStream.schema(source).option("pathGlobFilter", "events*.parquet").parquet(d)
+    changes = events.select(F.lit("overworld").alias("dimension"), (F.col("user_id") % 50).cast("int").alias("x"), F.lit(0).alias("z"), "event_id")
+    U.upsert_stream(changes, f"{base}/table", f"{base}/state", ["event_id"]).awaitTermination()
+    return spark.read.parquet(f"{base}/table").select("dimension", "x", "z", "event_id")
