@@ -44,8 +44,8 @@ from .common import pieces, ship
 
 ship(__name__)
 
-BLOCK_ROWS = 4096
-BLOCK_BYTES = 16 << 20
+BLOCK_ROWS = 8192
+BLOCK_BYTES = 32 << 20
 #: Words of the texts that one packed row holds (one text at least), rows of words that are answered together, parts of words that a task remembers.
 ROW_WORDS = 1 << 18
 ANSWER_ROWS = 1 << 19
@@ -254,7 +254,7 @@ def _words(source):
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays of numbers below 2^32, like bytes together, compressed."""
     planes = b"".join(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays)
-    return b"".join(len(a).to_bytes(4, "little") for a in arrays) + zstandard.ZstdCompressor(level=3).compress(planes)
+    return b"".join(len(a).to_bytes(4, "little") for a in arrays) + zstandard.ZstdCompressor(level=7).compress(planes)
 
 
 def unpacked(data: bytes, arrays: int) -> list[np.ndarray]:
