@@ -352,6 +352,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, in
     told = stash(told, "decided")
     # of keys with an undecided string all anchors are asked; counts aggregate before they meet
     keys = told.groupBy("bytes_key").agg(F.max("undecided").alias("ask"), F.count("*").alias("members")).where("ask")
+    # a table of its own, so that both sides of the join are plain exchanges, of which Spark splits the large partitions
+    keys = stash(keys, "asked-keys")
     asked = told.join(keys, "bytes_key").withColumn("crowded", F.col("members") > CROWD)
     asked = stash(asked.groupBy("tid").agg(F.collect_list(F.struct("packed", "bytes_key", "undecided", "crowded")).alias("found")), "asked")
     around = keyed.join(asked, "tid").select("tid", "text", "found").mapInArrow(partial(_surroundings, length=length), "bytes_key long, tid long, packed long, undecided boolean, crowded boolean, around binary")
