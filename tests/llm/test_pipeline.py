@@ -78,7 +78,9 @@ def test_null_and_repeated_ids_and_clashing_columns(spark, folder, k):
         assert len(got) == 6 and {r.text for r in got if r.text} == {t for t in texts if t}
         assert all((r._key, r._hash) in {(f"k{i}", i) for i in range(10)} for r in got)
     if k == 2:
-        assert sorted(str(r.text) for r in got) == sorted(map(str, texts))
+        # a text as long as a passage that occurs twice goes whole, both times
+        left = ["" if t and len(t) >= corpus_pipeline.suffix_dedup.PASSAGE and texts.count(t) > 1 else t for t in texts]
+        assert sorted(str(r.text) for r in got) == sorted(map(str, left)) and left != texts
     if k == 3:
         assert {str(r.text) for r in got} == set(map(str, texts)) and len(got) >= len(texts)
         assert {r._copies for r in got} == set(range(10))
