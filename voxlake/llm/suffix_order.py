@@ -33,10 +33,10 @@ def places(df: DataFrame, columns: list[str], name: str, own: str | None = None)
     """``df`` with ``name``: the place of each row in the order of ``columns``, from 0, without gaps.
 
     With ``own``, a column of small numbers, also ``own_place``: the place among
-    the rows with the same number. Partitions are ranges of the order; of them
-    only the sizes reach the driver."""
-    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = df.repartitionByRange(n, *columns).sortWithinPartitions(*columns)
+    the rows with the same number. Partitions are ranges of the order, of which
+    Spark joins small neighbours by their measured size; only their sizes reach the
+    driver."""
+    ordered = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
     kinds = T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("inside", T.LongType()), T.StructField("own_inside", T.LongType())])
     ordered = stash(ordered.mapInArrow(_counted(own), kinds), "ordered")
     sizes = ordered.groupBy("part", *([own] if own else [])).agg(F.count("*").alias("n")).collect()
