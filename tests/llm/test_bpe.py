@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import unicodedata
 
 import numpy as np
@@ -83,3 +84,31 @@ def test_another_splitter_is_refused():
 
 def test_empty_table(spark):
     assert bpe.op8_bpe(spark.createDataFrame([], "doc_id long, text string"), SOURCE).count() == 0
+
+
+class Held:
+    """What a worker reads of a broadcast."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_a_block_holds_little_beside_its_words():
+    # tracemalloc has numpy's arrays, the pool Arrow's
+    rng = random.Random(8)
+    known = [f"word{k}" for k in range(20_000)]
+    rows = [" ".join(rng.choices(known, k=500)) for _ in range(bpe.BLOCK_ROWS)]
+    batch = bpe.pa.RecordBatch.from_pydict({"doc_id": list(range(len(rows))), "text": rows})
+    source = Held({"json": SOURCE})
+    bpe._vocabulary(source)
+    usual, pool = bpe.pa.default_memory_pool(), bpe.pa.proxy_memory_pool(bpe.pa.default_memory_pool())
+    bpe.pa.set_memory_pool(pool)
+    try:
+        for run in (bpe._words, bpe._packed_texts):
+            tracemalloc.start()
+            before, n = pool.bytes_allocated(), sum(out.num_rows for out in run(source)(iter([batch])))
+            held = tracemalloc.get_traced_memory()[1] + pool.max_memory() - before
+            tracemalloc.stop()
+            assert n and held < 1.5 * batch.nbytes, held / batch.nbytes
+    finally:
+        bpe.pa.set_memory_pool(usual)

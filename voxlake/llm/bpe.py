@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship
+from .common import pieces, returning, ship
 
 ship(__name__)
 
@@ -192,21 +192,11 @@ def _piece_list(v: Vocabulary) -> pa.Array:
     return pa.array([v.pieces.get(i, "") for i in range(max(v.pieces) + 1)], pa.string())
 
 
-def _blocks(batches):
-    """The rows of a partition as tables of ``BLOCK_ROWS`` texts or ``BLOCK_BYTES`` bytes."""
-    held, rows, size = [], 0, 0
-    for piece in (p for batch in batches for p in pieces(batch, 256)):
-        held, rows, size = [*held, piece], rows + piece.num_rows, size + piece.nbytes
-        if rows >= BLOCK_ROWS or size >= BLOCK_BYTES:
-            yield pa.Table.from_batches(held)
-            held, rows, size = [], 0, 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _runs(v: Vocabulary, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The runs of all texts end to end, and how many each text has; an empty run may stand where a text begins or ends."""
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(texts) + 1, 4 * texts.offset)
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
     if ((data >= 28) & (data <= 31)).any():  # white space for the vector split, but not for the splitter
         runs = [v.runs(t or "") for t in texts.to_pylist()]
         return pa.array([w for r in runs for w in r], pa.string()), np.array([len(r) for r in runs], np.int64)
@@ -214,36 +204,65 @@ def _runs(v: Vocabulary, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _numbered(v: Vocabulary, texts: pa.ChunkedArray) -> tuple[bytes, pa.Array, np.ndarray, np.ndarray]:
-    """Of a block's texts: digest and array of the distinct words, most frequent first; all words as numbers; words of each text."""
-    whole = pa.concat_arrays(texts.chunks)
-    runs, sizes = _runs(v, whole)
+def _coded(v: Vocabulary, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of a few texts: the distinct runs, all words as places in them, words of each text."""
+    runs, sizes = _runs(v, texts)
     coded = runs.dictionary_encode()
-    codes = coded.indices.to_numpy().astype(np.int64)
+    codes = coded.indices.to_numpy().astype(np.int32)
     empty = pc.index(coded.dictionary, "").as_py()
     if empty >= 0:
         kept_ = codes != empty
         sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept_], minlength=len(sizes))
         codes = codes[kept_]
-    often = np.bincount(codes, minlength=len(coded.dictionary))
+    return coded.dictionary, codes, sizes
+
+
+def _numbered(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[bytes, pa.Array, np.ndarray, np.ndarray]:
+    """Of a block's coded texts: digest and array of the distinct words, most frequent first; all words as numbers; words of each text."""
+    coded = pa.concat_arrays([words for words, _, _ in parts]).dictionary_encode()
+    places, at = coded.indices.to_numpy().astype(np.int32), 0
+    codes = np.empty(sum(len(c) for _, c, _ in parts), np.int32)
+    often, end = np.zeros(len(coded.dictionary), np.int64), 0
+    for words, c, _ in parts:
+        mine = codes[end : end + len(c)]
+        mine[:] = places[at : at + len(words)][c]
+        often += np.bincount(mine, minlength=len(often))
+        at, end = at + len(words), end + len(c)
     order = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
-    rank = np.empty(len(often), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(often), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    for a in range(0, len(codes), 1 << 18):
+        codes[a : a + (1 << 18)] = rank[codes[a : a + (1 << 18)]]
     words = coded.dictionary.take(pa.array(order, pa.int64()))
     digest = xxhash.xxh3_128()
     for buffer in words.buffers()[1:]:
         digest.update(buffer or b"")
-    return digest.digest(), words, rank[codes], sizes
+    return digest.digest(), words, codes, np.concatenate([sizes for _, _, sizes in parts])
+
+
+def _blocks(v: Vocabulary, batches):
+    """The rows of a partition by blocks of ``BLOCK_ROWS`` texts or ``BLOCK_BYTES`` bytes, as ``_numbered`` gives them, and their doc_ids.
+
+    A block holds its words as numbers from the first; its texts are let go."""
+    held, ids, size = [], [], 0
+    for piece in (p for batch in batches for p in pieces(batch, 256)):
+        held.append(_coded(v, piece.column("text")))
+        ids += piece.column("doc_id").to_pylist()
+        size += piece.nbytes
+        if len(ids) >= BLOCK_ROWS or size >= BLOCK_BYTES:
+            yield *_numbered(held), ids
+            held, ids, size = [], [], 0
+    if held:
+        yield *_numbered(held), ids
 
 
 def _words(source):
-    """Of (text): ``(block, number, word)`` of each block's distinct words."""
+    """Of (doc_id, text): ``(block, number, word)`` of each block's distinct words."""
     schema = pa.schema([("block", pa.binary()), ("number", pa.int32()), ("word", pa.string())])
 
     def run(batches):
         v = _vocabulary(source)
-        for table in _blocks(batches):
-            block, words, _, _ = _numbered(v, table.column("text"))
+        for block, words, _, _, _ in _blocks(v, batches):
             for at in range(0, len(words), 1 << 14):
                 part = words.slice(at, 1 << 14)
                 yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.binary()), len(part)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], schema=schema)
@@ -296,17 +315,18 @@ def _answers(source):
             return ids
 
         def answered():
-            names = pa.chunked_array([pa.array(h[0], pa.binary()) for h in held]).combine_chunks().dictionary_encode()
-            block = names.indices.to_numpy().astype(np.int64)
+            names: dict[bytes, int] = {}
+            block = np.concatenate([np.array([names.setdefault(x, len(names)) for x in h[4]], np.int32)[h[0]] for h in held])
+            told = list(names)
             number, size = (np.concatenate([h[k] for h in held]) for k in (1, 2))
             ids = np.concatenate([h[3] for h in held])
-            starts = np.cumsum(size) - size
+            starts = np.cumsum(size, dtype=np.int64) - size
             order = np.lexsort((number, block))
             cuts = np.append(np.flatnonzero(np.diff(block[order], prepend=-1)), len(order))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 at = order[a:b]
                 data = packed(np.diff(number[at], prepend=0), size[at], gathered(ids, starts[at], size[at]))
-                yield pa.RecordBatch.from_arrays([pa.array([names.dictionary[int(block[at[0]])].as_py()], pa.binary()), pa.array([0], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([data], pa.binary())], schema=_MET)
+                yield pa.RecordBatch.from_arrays([pa.array([told[block[at[0]]]], pa.binary()), pa.array([0], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([data], pa.binary())], schema=_MET)
 
         for batch in batches:
             word = batch.column(2).dictionary_encode()
@@ -318,8 +338,9 @@ def _answers(source):
             each = np.array([len(x) for x in lists], np.int64)
             flat = np.array([i for x in lists for i in x], np.int64)
             size = each[codes]
-            # a copy of its own, so that the batch can go
-            held.append((batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.int64), size, gathered(flat, (np.cumsum(each) - each)[codes], size)))
+            # copies of their own, so that the batch can go
+            block = batch.column(0).dictionary_encode()
+            held.append((block.indices.to_numpy().astype(np.int32), batch.column(1).to_numpy().astype(np.int32), size.astype(np.int32), gathered(flat, (np.cumsum(each) - each)[codes], size).astype(np.int32), block.dictionary.to_pylist()))
             rows += len(codes)
             if rows >= ANSWER_ROWS:
                 yield from answered()
@@ -335,9 +356,7 @@ def _packed_texts(source):
 
     def run(batches):
         v = _vocabulary(source)
-        for table in _blocks(batches):
-            block, words, numbers, sizes = _numbered(v, table.column("text"))
-            ids = table.column("doc_id").to_pylist()
+        for block, words, numbers, sizes, ids in _blocks(v, batches):
             ends = np.cumsum(sizes)
             at = 0
             while at < len(ids):
@@ -400,9 +419,9 @@ def encode_and_decode(docs: DataFrame, vocabulary_json: str) -> DataFrame:
     source = docs.sparkSession.sparkContext.broadcast({"json": vocabulary_json})
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # both readings see the same columns, so that they see the same partitions
-    words = keyed.mapInArrow(_words(source), "block binary, number int, word string").repartition("word").sortWithinPartitions("word")
-    met = words.mapInArrow(_answers(source), _MET_SCHEMA).unionByName(keyed.mapInArrow(_packed_texts(source), _MET_SCHEMA))
-    return met.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_finished(source), "doc_id long, n_tokens long, ids binary, decoded string")
+    words = keyed.mapInArrow(returning(_words(source)), "block binary, number int, word string").repartition("word").sortWithinPartitions("word")
+    met = words.mapInArrow(returning(_answers(source)), _MET_SCHEMA).unionByName(keyed.mapInArrow(returning(_packed_texts(source)), _MET_SCHEMA))
+    return met.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(returning(_finished(source)), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def op8_bpe(docs: DataFrame, vocabulary_json: str) -> DataFrame:
