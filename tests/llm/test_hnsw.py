@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from voxlake.llm import hnsw as H
@@ -74,3 +76,13 @@ def test_audit_judges_where_nothing_is_near():
     ids, _ = graph.search(own, beam)
     near = [set(np.argsort(-s, kind="stable")[:8]) for s in own @ x.T]
     assert sum(len(t & set(i)) for t, i in zip(near, ids)) >= 0.99 * 8 * 64
+
+
+def test_a_search_copies_few_vectors_at_a_time():
+    x = H._unit(np.random.default_rng(4).normal(size=(3000, 64))).astype(np.float32)
+    graph = H.Graph(x)
+    tracemalloc.start()
+    graph.search(x[:512], 48)
+    peak = tracemalloc.get_traced_memory()[1] - 512 * len(x)  # what each query has seen
+    tracemalloc.stop()
+    assert peak < 12 << 20, peak

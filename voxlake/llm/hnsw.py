@@ -40,6 +40,24 @@ AUDIT = 64
 AUDIT_RECALL = 0.99
 BATCH = 512
 _SLACK = 1e-4
+#: Nodes that a step of a search expands; a similarity is held in so many steps for each unit, a node's number in 32 bits.
+WIDE = 4
+_STEPS = 1 << 28
+_NODE = (1 << 32) - 1
+_CACHED = 1 << 19
+
+
+def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of rows ``i`` of ``x`` with rows ``j`` of ``y``, by as many at a time as stay in a processor's cache."""
+    out, step = np.empty(len(i), np.float32), max(1, _CACHED // max(1, x[:1].nbytes))
+    for a in range(0, len(i), step):
+        out[a : a + step] = np.vecdot(x.take(i[a : a + step], 0), y.take(j[a : a + step], 0))
+    return out
+
+
+def _keys(sims: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the similarities, each with its node and, in the last bit, that it is to be expanded."""
+    return ((np.clip(sims, -1.5, 1.5).astype(np.float64) + 2) * _STEPS).astype(np.int64) << 33 | nodes << 1 | 1
 
 
 class Graph:
@@ -92,8 +110,11 @@ class Graph:
         """Of each row's candidates, nearest first, those nearer to the row's node than to any chosen one; then the nearest of the rest."""
         order = np.argsort(-np.where(ids >= 0, sims, -3), 1, kind="stable")[:, : 4 * most]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-        v = self.x[np.maximum(ids, 0)]
-        between = np.einsum("bid,bjd->bij", v, v)
+        between = np.empty((*ids.shape, ids.shape[1]), np.float32)
+        step = max(1, _CACHED // max(1, ids.shape[1] * self.x[:1].nbytes))
+        for a in range(0, len(ids), step):
+            v = self.x[np.maximum(ids[a : a + step], 0)]
+            between[a : a + step] = v @ v.transpose(0, 2, 1)
         b, c = ids.shape
         chosen, count = np.zeros((b, c), bool), np.zeros(b, int)
         for j in range(c):
@@ -123,46 +144,54 @@ class Graph:
         old = links[place[heads]]
         known = (old[:, :, None] == extra[:, None, :]).any(1)
         both = np.hstack([old, np.where(known, -1, extra)])
-        sims = np.einsum("bkd,bd->bk", self.x[np.maximum(both, 0)], self.x[heads])
         cap = links.shape[1]
-        links[place[heads]] = self._diverse(both, sims, cap) if both.shape[1] > cap else both
+        both = -np.sort(-both, 1)
+        full = (both >= 0).sum(1) > cap
+        links[place[heads[~full]], : both.shape[1]] = both[~full, :cap]
+        if full.any():
+            tight, centre = both[full], heads[full]
+            sims = _dots(self.x, np.maximum(tight, 0).ravel(), self.x, np.repeat(centre, tight.shape[1])).reshape(tight.shape)
+            links[place[centre]] = self._diverse(tight, sims, cap)
 
     def _search_layer(self, q: np.ndarray, entries: np.ndarray, level: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Beams (queries, beam) of node numbers and similarities, best first."""
-        links, place, b = self.layers[level][1], self.row[level], len(q)
-        ids, sims, open_ = np.full((b, beam), -1, np.int64), np.full((b, beam), -2.0, np.float32), np.zeros((b, beam), bool)
-        ids[:, 0] = entries
-        sims[:, 0] = np.einsum("bd,bd->b", self.x[entries], q)
-        open_[:, 0] = True
-        seen = np.zeros((b, len(self.x)), bool)
-        seen[np.arange(b), entries] = True
-        wide = 1 if beam == 1 else 4
+        """Beams (queries, beam) of node numbers and similarities, best first.
+
+        A beam is a sorted row of numbers that hold similarity, node and whether it is still to be expanded, so that one
+        plain sort orders all three."""
+        links, place, b, n = self.layers[level][1], self.row[level], len(q), len(self.x)
+        wide, width = 1 if beam == 1 else WIDE, links.shape[1]
+        state = np.full((b, beam), -1, np.int64)
+        state[:, -1] = _keys(np.einsum("bd,bd->b", self.x[entries], q), entries)
+        # by query and node 0, or one more than the column of the step that named it first
+        seen = np.zeros(b * n, np.int8)
+        seen[np.arange(b) * n + entries] = 1
         live = np.arange(b)
         while len(live):
-            best = np.argsort(np.where(open_[live], -sims[live], 3), 1, kind="stable")[:, :wide]
-            mine = np.take_along_axis(open_[live], best, 1)
-            nodes = np.where(mine, np.take_along_axis(ids[live], best, 1), -1)
-            open_[live[:, None], best] = False
-            near = links[place[np.maximum(nodes, 0)]]
-            near = np.where((nodes >= 0)[:, :, None], near, -1).reshape(len(live), -1)
-            new = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
+            now = state[live]
+            open_ = ((now & 1) == 1) & (now >= 0)
+            rank = np.cumsum(open_[:, ::-1], 1, dtype=np.int16)[:, ::-1]
+            rows, cols = np.nonzero(open_ & (rank <= wide))
+            some = now[rows, cols]
+            now[rows, cols] = some - 1
+            near = links[place[some >> 1 & _NODE]]
+            at, j = np.nonzero(near >= 0)
+            found, row = near[at, j], rows[at]
+            column = (rank[rows, cols][at] - 1) * width + j
+            spot = live[row] * n + found
+            fresh = np.flatnonzero(seen[spot] == 0)
+            found, row, column, spot = found[fresh], row[fresh], column[fresh], spot[fresh]
             # a node that two of the expanded ones name counts once
-            order = np.argsort(np.where(new, near, -1), 1, kind="stable")
-            near, new = np.take_along_axis(near, order, 1), np.take_along_axis(new, order, 1)
-            new[:, 1:] &= (near[:, 1:] != near[:, :-1]) | ~new[:, :-1]
-            rows, cols = np.nonzero(new)
-            found = near[rows, cols]
-            seen[live[rows], found] = True
-            s = np.full(near.shape, -2.0, np.float32)
-            s[rows, cols] = np.einsum("kd,kd->k", self.x[found], q[live[rows]])
-            all_ids = np.hstack([ids[live], np.where(new, near, -1)])
-            all_sims = np.hstack([sims[live], s])
-            all_open = np.hstack([open_[live], new])
-            top = np.argsort(-all_sims, 1, kind="stable")[:, :beam]
-            ids[live], sims[live] = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_sims, top, 1)
-            open_[live] = np.take_along_axis(all_open, top, 1) & (ids[live] >= 0)
-            live = live[open_[live].any(1)]
-        return ids, sims
+            seen[spot] = column + 1
+            first = np.flatnonzero(seen[spot] == column + 1)
+            found, row, column = found[first], row[first], column[first]
+            more = np.full((len(live), wide * width), -1, np.int64)
+            more[row, column] = _keys(_dots(self.x, found, q, live[row]), found)
+            both = np.hstack([now, more])
+            both.sort(1)
+            state[live] = both = both[:, -beam:]
+            live = live[(((both & 1) == 1) & (both >= 0)).any(1)]
+        state = state[:, ::-1]
+        return np.where(state >= 0, state >> 1 & _NODE, -1), np.where(state >= 0, (state >> 33) / _STEPS - 2, -2).astype(np.float32)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         entries = np.full(len(q), self.entry)
