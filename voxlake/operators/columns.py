@@ -87,7 +87,7 @@ def decoded_entity(e: Column, order: str = "little") -> Column:
             tags = nbt.decode(bytes(x or b""), order)
             if tags.get("identifier", ("",))[0] != "string" and name:
                 tags["identifier"] = ("string", name)
-            floats = lambda a: ("list", ("float", [float(c) for c in a]))
+            floats = lambda a: ("list", ("float", a.tolist()))
             tags |= {"Pos": floats(p), "Yaw": ("float", float(r[0])), "Pitch": ("float", float(r[1])), "Motion": floats(v)}
             kind, unique = tags.get("UniqueID", ("", 0))
             rows.append((int(unique) if kind == "long" else 0, _text(tags, "identifier"), nbt.encode(tags, order)))
@@ -96,21 +96,21 @@ def decoded_entity(e: Column, order: str = "little") -> Column:
     return decode(e["data"], e["id"], e["position"], e["rotation"], e["velocity"])
 
 
-def block_entity_parts(rows: DataFrame) -> DataFrame:
-    """``(dimension, x, z, block_entities)``: a chunk's block entities, ordered by place."""
+def block_entity_elements(rows: DataFrame) -> DataFrame:
+    """``(dimension, cx, cz, v)``: block entities as a chunk's list holds them."""
     b = F.struct(C.pack_xz(F.col("x"), F.col("z")).cast("smallint").alias("packed_xz"), F.col("y").cast("int").alias("y"), block_entity_id(F.col("data")).alias("id"), F.coalesce("data", F.lit(b"")).alias("data"))
-    return _collected(rows.select("dimension", C.chunk_of(F.col("x")).alias("cx"), C.chunk_of(F.col("z")).alias("cz"), b.alias("v")), "block_entities")
+    return rows.select("dimension", C.chunk_of(F.col("x")).alias("cx"), C.chunk_of(F.col("z")).alias("cz"), b.alias("v"))
 
 
-def entity_parts(rows: DataFrame) -> DataFrame:
+def entity_elements(rows: DataFrame) -> DataFrame:
     e = rows.select("dimension", "cx", "cz", F.coalesce("uuid", F.lit(NO_UUID)).alias("uuid"), encoded_entity(F.col("data"), F.col("unique_id")).alias("e"))
-    return _collected(e.select("dimension", "cx", "cz", F.struct("uuid", "e.*").alias("v")), "entities")
+    return e.select("dimension", "cx", "cz", F.struct("uuid", "e.*").alias("v"))
 
 
-def tick_parts(rows: DataFrame) -> DataFrame:
+def tick_elements(rows: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif(S.state_name(F.col("block")), F.lit("")), F.lit(C.AIR))
     t = F.struct(C.pack_xz(F.col("x"), F.col("z")).cast("smallint").alias("packed_xz"), F.col("y").cast("int").alias("y"), name.alias("block"), F.col("tick").cast("bigint").alias("tick"))
-    return _collected(rows.select("dimension", C.chunk_of(F.col("x")).alias("cx"), C.chunk_of(F.col("z")).alias("cz"), t.alias("v")), "scheduled_ticks")
+    return rows.select("dimension", C.chunk_of(F.col("x")).alias("cx"), C.chunk_of(F.col("z")).alias("cz"), t.alias("v"))
 
 
 def _collected(rows: DataFrame, name: str) -> DataFrame:
@@ -118,21 +118,30 @@ def _collected(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("dimension", F.col("cx").alias("x"), F.col("cz").alias("z")).agg(F.array_sort(F.collect_list("v")).alias(name))
 
 
+def _elements(block_entities: DataFrame | None, entities: DataFrame | None, ticks: DataFrame | None) -> dict[str, DataFrame]:
+    given = {"block_entities": (block_entities, block_entity_elements), "entities": (entities, entity_elements), "scheduled_ticks": (ticks, tick_elements)}
+    return {name: made(rows) for name, (rows, made) in given.items() if rows is not None}
+
+
 def to_chunks(chunks: DataFrame, block_entities: DataFrame | None = None, entities: DataFrame | None = None, ticks: DataFrame | None = None) -> DataFrame:
     """Whole chunks in the order of the file's schema; a part's chunk exists even where no block names it.
 
     ``chunks`` has ``(dimension, x, z, sections)`` and perhaps ``user_data``; lists that it has are kept where no part is given."""
-    parts = {"block_entities": block_entities and block_entity_parts(block_entities), "entities": entities and entity_parts(entities), "scheduled_ticks": ticks and tick_parts(ticks)}
     out = chunks
-    for name, part in parts.items():
-        if part is not None:
-            out = out.drop(name).join(part, KEYS, "full")
+    for name, rows in _elements(block_entities, entities, ticks).items():
+        out = out.drop(name).join(_collected(rows, name), KEYS, "full")
     kinds = T._parse_datatype_string(worldfile.CHUNKS)
     none = {"block_entities", "entities", "scheduled_ticks", "sections"}
     column = lambda f: (F.col(f.name) if f.name in out.columns else F.lit(None)).cast(f.dataType)
     return out.select(*[(F.coalesce(column(f), F.array().cast(f.dataType)) if f.name in none else F.coalesce(column(f), F.lit(b"")) if f.name == "user_data" else column(f)).alias(f.name) for f in kinds])
 
 
+def write_columns(chunks: DataFrame, path: str, block_entities: DataFrame | None = None, entities: DataFrame | None = None, ticks: DataFrame | None = None, **options) -> None:
+    """The files of ``to_chunks``, without its rows: elements go to the file as they are, so no list of a chunk meets in a row."""
+    parts = {n: e.select("dimension", F.col("cx").alias("x"), F.col("cz").alias("z"), "v") for n, e in _elements(block_entities, entities, ticks).items()}
+    worldfile.write_worlds(chunks, path, **options, **parts)
+
+
 def block_entity_records(chunks: DataFrame, order: str = "little") -> DataFrame:
     """Block entities at absolute places with their scalar tags as text."""
     from .settings import nbt_scalars

@@ -694,7 +694,7 @@ def _written(spark, d) -> str:
 @query(f"WITH {ADDRESSED} SELECT x, y, z, st AS block FROM i")
 def scan_roundtrip(spark, d):
     """Chunks written to a world file and read again by Spark's file scan."""
-    return X.blocks(WF.read_worlds(spark, _written(spark, d))).select("x", "y", "z", "block")
+    return X.blocks(WF.read_worlds(spark, _written(spark, d), whole=False)).select("x", "y", "z", "block")
 
 
 @query(f"WITH {ADDRESSED} SELECT 'overworld' AS dimension, 1 AS version, -4 AS min_section, 20 AS max_section, count(*) AS chunks FROM (SELECT DISTINCT cx, cz FROM i)")
@@ -734,19 +734,25 @@ def _tagged(name, *pairs):
     return encode(*cols).alias(name)
 
 
-def _through_file(spark, chunks, **options):
+def _dealt(rows, key):
+    """Rows over all cores: a compressed table has few splits for what its tags cost to encode."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def _through_file(spark, chunks, **parts_and_options):
+    """Columns to a world file and back as pieces of chunks, so that no list of a chunk meets in a row."""
     path = _folder(spark)
-    WF.write_worlds(chunks, path, **options)
-    return WF.read_worlds(spark, path)
+    K.write_columns(chunks, path, **parts_and_options)
+    return WF.read_worlds(spark, path, whole=False)
 
 
 @query(f"WITH {BLOCK_ENTITY} SELECT x, y, z, coalesce(name, 'minecraft:unknown') AS id, coalesce(tag, '-') AS tag, count(*) AS n FROM be GROUP BY ALL")
 def file_block_entities(spark, d):
     """Block entities with tagged data into chunks, a world file, and back at absolute places."""
-    rows = V.block_entity_rows(spark, d)
+    rows = _dealt(V.block_entity_rows(spark, d), "c_custkey")
     rows = rows.select("dimension", "x", "y", "z", _tagged("data", ("id", "string", F.col("name")), ("tag", "string", F.col("tag"))))
     grid = rows.select("dimension", C.chunk_of(F.col("x")).alias("x"), C.chunk_of(F.col("z")).alias("z")).distinct()
-    back = K.block_entity_records(_through_file(spark, K.to_chunks(grid, block_entities=rows), min_section=0, max_section=1))
+    back = K.block_entity_records(_through_file(spark, grid, block_entities=rows, min_section=0, max_section=1))
     told = back.select("x", "y", "z", "id", F.coalesce(F.col("tags")["tag"], F.lit("-")).alias("tag"))
     return told.groupBy("x", "y", "z", "id", "tag").agg(F.count("*").alias("n"))
 
@@ -755,13 +761,13 @@ def file_block_entities(spark, d):
 CASE WHEN event_id % 4 = 0 THEN 0 ELSE bx END AS px, CASE WHEN event_id % 4 = 0 THEN 0 ELSE by_ END AS py, CAST(event_id % 90 AS INT) AS yaw, CASE WHEN event_id % 4 = 0 THEN 0 ELSE bz END AS mz FROM ent""")
 def file_entities(spark, d):
     """Entities through tagged data, chunks and a world file; vectors of another length than three are zero."""
-    e = V.entities(spark, d)
+    e = _dealt(V.entities(spark, d), "event_id")
     whole = F.array(*[F.col(c).cast("float") for c in ("bx", "by_", "bz")])
     given = F.when(F.col("event_id") % 4 == 0, F.slice(whole, 1, 2)).otherwise(whole)
     data = _tagged("data", ("identifier", "string", F.when(F.col("event_id") % 5 != 0, F.col("id"))), ("Pos", "vector", given), ("Motion", "vector", given), ("Yaw", "float", (F.col("event_id") % 90).cast("float")))
     rows = e.select(F.lit("overworld").alias("dimension"), C.chunk_of(F.col("bx")).alias("cx"), C.chunk_of(F.col("bz")).alias("cz"), F.col("event_id").alias("unique_id"), F.lit(None).cast("string").alias("uuid"), data)
     grid = rows.select("dimension", F.col("cx").alias("x"), F.col("cz").alias("z")).distinct()
-    back = K.entity_records(_through_file(spark, K.to_chunks(grid, entities=rows), min_section=0, max_section=1))
+    back = K.entity_records(_through_file(spark, grid, entities=rows, min_section=0, max_section=1))
     i = lambda c, k: F.element_at(c, k).cast("int")
     return back.select("unique_id", "identifier", "chunk_x", "chunk_z", i("position", 1).alias("px"), i("position", 2).alias("py"), i("rotation", 1).alias("yaw"), i("velocity", 3).alias("mz"))
 
@@ -773,7 +779,7 @@ def file_ticks(spark, d):
     state = F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("minecraft:"), F.lower("o_orderstatus"), F.when(k % 2 == 0, "[lit=true]").otherwise("")))
     rows = table(spark, d, "orders").select(F.lit("overworld").alias("dimension"), (F.col("o_custkey") % 90 - 45).cast("int").alias("x"), (k % 320 - 64).cast("int").alias("y"), (k % 70 - 35).cast("int").alias("z"), state.alias("block"), k.alias("tick"))
     grid = rows.select("dimension", C.chunk_of(F.col("x")).alias("x"), C.chunk_of(F.col("z")).alias("z")).distinct()
-    return X.scheduled_ticks(_through_file(spark, K.to_chunks(grid, ticks=rows), min_section=0, max_section=1)).select("x", "y", "z", "block", "tick")
+    return X.scheduled_ticks(_through_file(spark, grid, ticks=rows, min_section=0, max_section=1)).select("x", "y", "z", "block", "tick")
 
 
 @query(f"""WITH {BLOCK_ENTITY}, {ADDRESSED}, {_TICKS}, k AS (SELECT DISTINCT cx, cz FROM i),
@@ -781,15 +787,16 @@ c AS (SELECT i.cx, i.cz, count(*) AS blocks FROM i GROUP BY ALL), b AS (SELECT x
 SELECT k.cx AS x, k.cz AS z, blocks, coalesce(b.n, 0) AS block_entities, coalesce(t.n, 0) AS ticks, concat(k.cx, '/', k.cz) AS user_data FROM k JOIN c USING (cx, cz) LEFT JOIN b USING (cx, cz) LEFT JOIN t USING (cx, cz)""")
 def column_to_chunk(spark, d):
     """Whole columns (cells, block entities, ticks, user data) stored, read, and counted by chunk."""
-    be = V.block_entity_rows(spark, d)
+    be = _dealt(V.block_entity_rows(spark, d), "c_custkey")
     be = be.select("dimension", "x", "y", "z", _tagged("data", ("id", "string", F.col("name"))))
     k = F.col("o_orderkey")
     ticks = table(spark, d, "orders").select(F.lit("overworld").alias("dimension"), (F.col("o_custkey") % 90 - 45).cast("int").alias("x"), (k % 320 - 64).cast("int").alias("y"), (k % 70 - 35).cast("int").alias("z"), F.lit("minecraft:water").alias("block"), k.alias("tick"))
     cells = V.chunks(spark, d).withColumn("user_data", F.concat_ws("/", "x", "z").cast("binary"))
-    back = _through_file(spark, K.to_chunks(cells, be, ticks=ticks), compression="fast", streaming=True)
+    back = _through_file(spark, cells, block_entities=be, ticks=ticks, compression="fast", streaming=True)
     keys = ["dimension", "x", "z"]
     filled = X.blocks(back).groupBy("dimension", C.chunk_of(F.col("x")).alias("x"), C.chunk_of(F.col("z")).alias("z")).agg(F.count("*").alias("blocks"))
-    told = back.select(*keys, F.size("block_entities").cast("bigint").alias("block_entities"), F.size("scheduled_ticks").cast("bigint").alias("ticks"), F.col("user_data").cast("string").alias("user_data"))
+    total = lambda c: F.sum(F.size(c)).cast("bigint")
+    told = back.groupBy(*keys).agg(total("block_entities").alias("block_entities"), total("scheduled_ticks").alias("ticks"), F.max("user_data").cast("string").alias("user_data"))
     return told.join(filled, keys).select("x", "z", "blocks", "block_entities", "ticks", "user_data")
 
 
